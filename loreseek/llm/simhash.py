@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loreseek.llm.common import Scratch, connected_components, pieces
 
@@ -179,14 +180,39 @@ def links(fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame
     return paired.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(lambda b: compare_groups(b, radius), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of each row of ``docs`` (doc_id, text)."""
+def _components(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, and (fp, least, root) of each fingerprint: its smallest id and its component's name."""
     scratch = Scratch(docs.sparkSession, "simhash")
     each = scratch.table(fingerprints(docs), "fingerprints")
     distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
     of = connected_components(links(distinct.select("fp"), radius), scratch)
     root = distinct.join(of, distinct.fp == of.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    root = scratch.table(root, "roots")
+    return each, scratch.table(root, "roots")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of each row of ``docs`` (doc_id, text)."""
+    each, root = _components(docs, radius)
     component = root.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = root.join(component, "root").select("fp", "component_id")
     return each.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each component of ``docs``, with all its columns: the one with the smallest id."""
+    each, root = _components(docs, radius)
+    least = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("m")  # null ids come last
+    kept = root.groupBy("root").agg(least).select(F.col("m.least").alias("_id"), F.col("m.fp").alias("_fp"))
+    if each.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty():
+        return docs.join(kept, docs.doc_id == F.col("_id"), "left_semi")
+    # Ids that are shared or null don't name a row: here the fingerprint is part of the name, and equal rows fall together.
+    place, schema = docs.columns.index("text"), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 8 << 20):
+            fp = np.fromiter((fingerprint((t or "").encode()) for t in batch.column(place).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, "_own"])
+
+    named = docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("_own", T.LongType())]))
+    chosen = named.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_fp")), "left_semi")
+    return chosen.dropDuplicates(["doc_id", "_own"]).drop("_own")
