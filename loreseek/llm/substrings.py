@@ -13,16 +13,23 @@ name of their common text, the document, the first window and their number.
 
 Blockwise order. Records are dealt into suffix buckets by the gram's name and
 each bucket is sorted by (name, text name, document, place) and streamed once,
-so memory doesn't follow a bucket's size. Long ties (equal text names) are
-settled by the names: all windows of all but the first record are repeats.
-Where one gram stands in different surroundings, the first record of each
-text is settled window by window: its windows are named by 128-bit hashes and
-pass through the same sort. Records of one task are combined before the
-shuffle, so a passage held by a third of all documents costs one record a task
-and not one a document; what the combination settles is dealt by document.
-
-Equality rests on 64-bit text names within one gram's bucket and 128-bit
-window names.
+so memory doesn't follow a bucket's size. Equal text names are long ties: all
+windows of all but the first record are repeats. Where one gram stands in
+different surroundings, the first record of each text sends its text to its
+bucket, and the buckets are sorted block by block: the samples' right texts and
+(backwards) left texts are ranked once, with the lengths of common prefixes,
+and a window that starts r bytes before its sample is told from the others by
+two ranks, that of its r left bytes and that of its WIDTH - r right bytes,
+instead of by comparing bytes again.
+
+Hot groups. Records of one task are combined before the shuffle, so a passage
+held by a third of all documents costs one record a task and not one a
+document; what the combination settles is dealt by document. A bucket of more
+than ``BLOCK`` different texts isn't sorted in one task: its windows are dealt
+singly, by 128-bit names, with the same combination.
+
+Equality rests on 64-bit text names within one gram's bucket, on bytes within
+sorted blocks, and on 128-bit window names in hot buckets.
 
 Defined results: null and empty texts have no bytes and the hash of no bytes;
 texts under ``WIDTH`` bytes stay whole; documents with a null id come last;
@@ -48,9 +55,11 @@ WIDTH = 100
 GRAM = 32
 SEGMENT = 4 << 20  # bytes that are hashed at once
 HELD = 1 << 20  # records of a task that are combined at once
+BLOCK = 32768  # texts that are sorted at once
 
 _RECORD = "h long, c long, doc long, at long"
-_FOLLOWS = 128  # in ``at``: settled already; the low 7 bits are the number of windows
+#: ``at`` is the first window << 16, the sample's distance from it << 8, and the number of windows.
+_FOLLOWS = 128  # in ``at``: settled already
 
 _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -91,7 +100,7 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def cover(flat: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """The records of texts laid end to end: document index, first window, number of windows, gram's name.
+    """The records of texts laid end to end: document index, first window, number of windows, the sample's distance from the first, gram's name.
 
     A text beyond ``SEGMENT`` is cut into overlapping parts; a cut only makes a record into two.
     """
@@ -115,9 +124,10 @@ def cover(flat: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int =
         cut = np.flatnonzero((at[1:] != at[:-1]) | (windows[1:] != windows[:-1] + 1)) + 1
         first, last = windows[np.r_[0, cut]], windows[np.r_[cut, len(windows)] - 1]
         own = d[np.searchsorted(d[:, 1], first + begin, side="right") - 1, 0]
-        found.append((own, first + begin, last - first + 1, names[at[np.r_[0, cut]]].view(np.int64)))
+        sample = at[np.r_[0, cut]]
+        found.append((own, first + begin, last - first + 1, sample - first, names[sample].view(np.int64)))
     if not found:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -176,16 +186,16 @@ def _records(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterat
     def each():
         for batch in pieces(batches, SEGMENT):
             flat, offsets = text_bytes(batch.column(1))
-            own, first, many, names = cover(flat, offsets, width, gram)
+            own, first, many, away, names = cover(flat, offsets, width, gram)
             if len(own):
                 keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield names, _named(flat, first, first + many - 1 + width), keys[own], ((first - offsets[own]) << 8) | many
+                yield names, _named(flat, first, first + many - 1 + width), keys[own], ((first - offsets[own]) << 16) | (away << 8) | many
 
     yield from _collected(each())
 
 
 def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """The single windows of the records in ``open``, under 128-bit names."""
+    """The single windows of the marked records, under 128-bit names."""
 
     def each():
         digest = xxhash.xxh3_128_digest
@@ -193,15 +203,106 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
             keys, texts, marks = (batch.column(k) for k in range(3))
             for k in np.flatnonzero(marks.is_valid().to_numpy(zero_copy_only=False)).tolist():
                 data = texts[k].as_py().encode()
-                starts = [s for x in marks[k].as_py() for s in range(x >> 8, (x >> 8) + (x & 127))]
-                names = np.frombuffer(b"".join([digest(data[s : s + width]) for s in starts]), ">i8").astype(np.int64).reshape(-1, 2)
-                yield names[:, 0].copy(), names[:, 1].copy(), np.full(len(starts), keys[k].as_py(), np.int64), (np.array(starts, np.int64) << 8) | 1
+                starts = [s for x in marks[k].as_py() if x["hot"] for s in range(x["at"] >> 16, (x["at"] >> 16) + (x["at"] & 127))]
+                if starts:
+                    names = np.frombuffer(b"".join([digest(data[s : s + width]) for s in starts]), ">i8").astype(np.int64).reshape(-1, 2)
+                    yield names[:, 0].copy(), names[:, 1].copy(), np.full(len(starts), keys[k].as_py(), np.int64), (np.array(starts, np.int64) << 16) | 1
 
     yield from _collected(each())
 
 
+def _texts(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(h, doc, at, text) of the marked records: the bytes that their windows cover."""
+    for batch in pieces(batches, 16 << 20):
+        flat, offsets = text_bytes(batch.column(1))
+        data, marks = flat.tobytes(), batch.column(2)
+        rows: list[tuple] = []
+        for k in np.flatnonzero(marks.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            doc, begin = batch.column(0)[k].as_py(), int(offsets[k])
+            for x in marks[k].as_py():
+                if not x["hot"]:
+                    a = begin + (x["at"] >> 16)
+                    rows.append((x["h"], doc, x["at"], data[a : a + (x["at"] & 127) - 1 + width]))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["h", "doc", "at", "text"])
+
+
+def _ranked(bucket: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of texts (uint8, one a row) within their buckets, and how many bytes each shares with the one before (-1: another bucket)."""
+    padded = np.zeros((len(texts), -(-texts.shape[1] // 8) * 8), np.uint8)
+    padded[:, : texts.shape[1]] = texts
+    order = np.lexsort([*padded.view(">u8").astype(np.uint64).T[::-1], bucket])
+    differ = texts[order[1:]] != texts[order[:-1]]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), texts.shape[1])
+    return order, np.r_[-1, np.where(bucket[order[1:]] == bucket[order[:-1]], common, -1)]
+
+
+def repeated_windows(bucket: np.ndarray, away: np.ndarray, many: np.ndarray, texts: list[bytes], width: int, gram: int) -> np.ndarray:
+    """For each text and distance r of a window's start before the sample: whether an earlier text of the bucket has this window.
+
+    Texts come in the order of documents; each begins ``away`` bytes before its sample and has ``many`` windows.
+    """
+    reach = width - gram
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    begin = np.cumsum([0, *map(len, texts)])[:-1]
+    size = many - 1 + width
+    place = away[:, None] + np.arange(width)  # from the sample on
+    right = np.where(place < size[:, None], flat[np.minimum(begin[:, None] + place, len(flat) - 1)], 0).astype(np.uint8)
+    place = away[:, None] - 1 - np.arange(reach)  # backwards from the sample
+    left = np.where(place >= 0, flat[np.maximum(begin[:, None] + place, 0)], 0).astype(np.uint8)
+    (right_order, right_common), (left_order, left_common) = _ranked(bucket, right), _ranked(bucket, left)
+    out = np.zeros((len(texts), reach + 1), bool)
+    left_rank, right_rank = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
+    for r in range(reach + 1):
+        own = np.flatnonzero((away >= r) & (away - many < r))
+        if len(own) < 2:
+            continue
+        left_rank[left_order] = np.cumsum(left_common < r)
+        right_rank[right_order] = np.cumsum(right_common < width - r)
+        pair = left_rank[own] * (len(texts) + 1) + right_rank[own]
+        order = np.argsort(pair, kind="stable")
+        again = order[1:][pair[order[1:]] == pair[order[:-1]]]
+        out[own[again], r] = True
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], width: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """(doc, at) of the repeated windows of rows (h, doc, at, text) sorted by h, whole buckets at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def close(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        h, doc, at = (table.column(k).to_numpy() for k in range(3))
+        order = np.lexsort((at, doc))
+        texts = table.column(3).to_pylist()
+        h, doc, at, texts = h[order], doc[order], at[order], [texts[k] for k in order.tolist()]
+        bucket = np.unique(h, return_inverse=True)[1]
+        first, away, many = at >> 16, at >> 8 & 127, at & 127
+        again = repeated_windows(bucket, away, many, texts, width, gram)[:, ::-1]  # now by rising start
+        edge = np.diff(again.astype(np.int8), axis=1, prepend=0, append=0)
+        rows, begin = np.nonzero(edge > 0)
+        end = np.nonzero(edge < 0)[1]
+        start = first[rows] + away[rows] - (width - gram) + begin
+        if len(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(start << 16 | end - begin)], names=["doc", "at"])
+
+    many = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            many += batch.num_rows
+        if many >= BLOCK:
+            table = pa.Table.from_batches(held)
+            h = table.column(0).to_numpy()
+            cut = int(np.searchsorted(h, h[-1]))
+            if cut:
+                yield from close(table.slice(0, cut))
+            held, many = table.slice(cut).to_batches(), table.num_rows - cut
+    if many:
+        yield from close(pa.Table.from_batches(held))
+
+
 def _settled(batches: Iterator[pa.RecordBatch], single: bool) -> Iterator[pa.RecordBatch]:
-    """(doc, at, open) of sorted records: repeats with open false; where a name has several texts, their first records with open true."""
+    """(doc, at, open, h) of sorted records: repeats with open false; where a name has several texts, their first records with open true."""
     last = None  # the row before: h, c
     first = None  # the first record of the present name while it has one text only: h, doc, at
     for batch in batches:
@@ -209,7 +310,7 @@ def _settled(batches: Iterator[pa.RecordBatch], single: bool) -> Iterator[pa.Rec
             continue
         h, c, doc, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
         follows = (at & _FOLLOWS) > 0
-        out = [(doc[follows], at[follows] & ~_FOLLOWS, np.zeros(int(follows.sum()), bool))]
+        out = [(doc[follows], at[follows] & ~_FOLLOWS, np.zeros(int(follows.sum()), bool), np.zeros(int(follows.sum()), np.int64))]
         h, c, doc, at = h[~follows], c[~follows], doc[~follows], at[~follows]
         if len(h):
             same_h, same = np.zeros(len(h), bool), np.zeros(len(h), bool)
@@ -218,7 +319,7 @@ def _settled(batches: Iterator[pa.RecordBatch], single: bool) -> Iterator[pa.Rec
             if last:
                 same_h[0] = h[0] == last[0]
                 same[0] = same_h[0] and c[0] == last[1]
-            out.append((doc[same], at[same], np.zeros(int(same.sum()), bool)))
+            out.append((doc[same], at[same], np.zeros(int(same.sum()), bool), np.zeros(int(same.sum()), np.int64)))
             last = int(h[-1]), int(c[-1])
             if not single:
                 rows = np.flatnonzero(~same)
@@ -230,16 +331,16 @@ def _settled(batches: Iterator[pa.RecordBatch], single: bool) -> Iterator[pa.Rec
                     several = joined.copy()
                     several[:-1] |= joined[1:]
                     keep = len(hs) - 1 if not joined[-1] and int(hs[-1]) == last[0] else len(hs)
-                    out.append((ds[:keep][several[:keep]], ats[:keep][several[:keep]], np.ones(int(several[:keep].sum()), bool)))
+                    out.append((ds[:keep][several[:keep]], ats[:keep][several[:keep]], np.ones(int(several[:keep].sum()), bool), hs[:keep][several[:keep]]))
                     first = (int(hs[-1]), int(ds[-1]), int(ats[-1])) if keep < len(hs) else None
-        docs, ats, opened = (np.concatenate(x) for x in zip(*out, strict=True))
+        docs, ats, opened, names = (np.concatenate(x) for x in zip(*out, strict=True))
         if len(docs):
-            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(ats), pa.array(opened)], names=["doc", "at", "open"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(ats), pa.array(opened), pa.array(names)], names=["doc", "at", "open", "h"])
 
 
 def _sorted(records: DataFrame, single: bool) -> DataFrame:
     keys = ["h", "c", "doc", "at"]
-    return records.repartition("h", *(["c"] if single else [])).sortWithinPartitions(*keys).mapInArrow(lambda b: _settled(b, single), "doc long, at long, open boolean")
+    return records.repartition("h", *(["c"] if single else [])).sortWithinPartitions(*keys).mapInArrow(lambda b: _settled(b, single), "doc long, at long, open boolean, h long")
 
 
 def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -253,8 +354,8 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
             if marks[k].is_valid:
                 at = np.asarray(marks[k].values)
                 edge = np.zeros(len(data) + 1, np.int64)
-                np.add.at(edge, at >> 8, 1)
-                np.add.at(edge, (at >> 8) + (at & 127) - 1 + width, -1)
+                np.add.at(edge, at >> 16, 1)
+                np.add.at(edge, (at >> 16) + (at & 127) - 1 + width, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 removed, spans = int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 data = data[~gone]
@@ -279,7 +380,7 @@ def _numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
     return docs.join(number, on).select("doc_id", "text", "doc"), True
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of ``docs`` (doc_id, text)."""
     if not 2 * gram <= width <= gram + 100:
         raise ValueError("a gram has at most half a window, and a record at most 101 windows")
@@ -288,10 +389,17 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     once = docs.dropDuplicates(["doc"]) if shared else docs
     records = once.select("doc", "text").mapInArrow(lambda b: _records(b, width, gram), _RECORD)
     marks = scratch.table(_sorted(records, single=False), "marks")
-    dealt = docs.select("doc", "text", "doc_id").repartition("doc")  # one exchange for both joins
+    opened = marks.filter("open")
+    hot = opened.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("h", F.lit(True).alias("hot"))
+    opened = opened.join(hot, "h", "left").select("doc", F.struct("h", "at", F.coalesce("hot", F.lit(False)).alias("hot")).alias("at"))
+    dealt = docs.select("doc", "text", "doc_id").repartition("doc")  # one exchange for all joins
     lists = lambda df: df.groupBy("doc").agg(F.collect_list("at").alias("marks"))
-    opened = dealt.join(lists(marks.filter("open")), "doc", "left").select("doc", "text", "marks")
-    windows = opened.mapInArrow(lambda b: _windows(b, width), _RECORD)
-    gone = marks.filter("not open").select("doc", "at").union(_sorted(windows, single=True).select("doc", "at"))
+    marked = dealt.join(lists(opened), "doc", "left").select("doc", "text", "marks")
+    texts = marked.mapInArrow(lambda b: _texts(b, width), "h long, doc long, at long, text binary")
+    blocks = texts.repartition("h").sortWithinPartitions("h").mapInArrow(lambda b: _blocks(b, width, gram), "doc long, at long")
+    gone = marks.filter("not open").select("doc", "at").union(blocks)
+    if not hot.isEmpty():
+        windows = marked.mapInArrow(lambda b: _windows(b, width), _RECORD)
+        gone = gone.union(_sorted(windows, single=True).select("doc", "at"))
     result = dealt.join(lists(gone), "doc", "left").select("doc", "text", "marks", "doc_id")
     return result.mapInArrow(lambda b: _cut(b, width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
