@@ -1 +1 @@
-"""Package of the history search engine."""
+"""Column functions: hashes, vectors, text, chunks, scores, and the embedding seam."""

@@ -1 +1 @@
-"""Package of the history search engine."""
+"""Operators: registry statements, vector and keyword search, chunks with fallback, walks, evaluation."""

@@ -1 +1 @@
-"""Package of the history search engine."""
+"""Whole plans: search, indexing, evaluation, and the registered queries."""

@@ -1 +1 @@
-"""Package of the history search engine."""
+"""Sources and sinks: git histories, the table store, evaluation cases."""

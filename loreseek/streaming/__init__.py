@@ -1 +1 @@
-"""Package of the history search engine."""
+"""Incremental indexing as a stream."""
