@@ -41,6 +41,7 @@ from loreseek.llm.common import Scratch, pieces
 LEAST = 100
 LINES = 512
 ROLL = 64 << 20  # bytes of an archive file, about
+TASKS = 20_000  # that read archives back, at most
 _ENTRY = "key string, page_id long, url string, type string, file string, at long, size long"
 _DIRECTORY = "first_key string, last_key string, lines int, file string, at long, size long"
 
@@ -213,8 +214,9 @@ class Captures:
         return self
 
     def records(self) -> DataFrame:
-        """All records, read back file by file."""
-        return read_archives(self.entries.select("file").distinct(), self.folder)
+        """All records, read back file by file: the names are short, so their number and not their bytes gives the tasks."""
+        files = self.entries.select("file").distinct()
+        return read_archives(files.repartition(max(1, min(files.count(), TASKS))), self.folder)
 
     def lookup(self, url: str) -> list[tuple[dict[str, str], bytes]]:
         """The captures of one url, by page_id; revisits come with the payload they refer to, if it is under the same url."""
