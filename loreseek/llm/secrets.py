@@ -20,6 +20,7 @@ are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 WINDOW = 20
+PART = 512  # matches that are placed at once
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_text")
 THRESHOLDS = {"entropy_hex": 3.0, "entropy_text": 3.7}
@@ -46,18 +48,38 @@ def _none() -> Column:
     return F.array().cast(_SPANS)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, found>> of the matches, in order."""
+    """array<struct<start, end, found>> of the matches, in order.
+
+    Each match adds to an array, which is copied; so matches are placed in parts of ``PART``, and only
+    the list of parts grows with the text.
+    """
     gaps = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, found: F.struct(F.length(gap).alias("gap"), found.alias("found")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
+    placed = "array<struct<start:int,end:int,found:string>>"
 
     def step(have: Column, x: Column) -> Column:
         begin = have["at"] + x["gap"]
         end = begin + F.length(x["found"])
         return F.struct(end.alias("at"), F.concat(have["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["found"].alias("found")))).alias("out"))
 
+    def part(have: Column, rows: Column) -> Column:
+        start = F.struct(have["at"].alias("at"), F.array().cast(placed).alias("out"))
+        done = F.aggregate(rows, start, step)
+        return _let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(have["out"], F.array(d["out"])).alias("out")))
+
+    def place(rows: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.size(rows), F.lit(PART)), lambda k: F.slice(rows, k, F.lit(PART)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{placed}>").alias("out"))
+        return F.aggregate(parts, start, part, lambda have: F.flatten(have["out"]))
+
     # The piece after the last match stands without a match.
-    return F.aggregate(F.filter(gaps, lambda x: x["found"].isNotNull()), start, step, lambda have: have["out"])
+    found = F.filter(gaps, lambda x: x["found"].isNotNull())
+    return _let(found, lambda rows: F.when(F.size(rows) > 0, place(rows)).otherwise(F.array().cast(placed)))
 
 
 def _span(x: Column, kind: Column) -> Column:
@@ -70,23 +92,26 @@ def highest_entropy(candidate: Column, window: int = WINDOW) -> Column:
     slots = len(_ALPHABET) + 1
     start = F.struct(F.array_repeat(F.lit(0), slots).alias("counts"), F.lit(0.0).alias("sum"), F.lit(float("inf")).alias("least"))
 
-    def slot(i: Column) -> Column:
+    def slot(character: Column) -> Column:
         """1 to the alphabet's length; 0, shared by all others, becomes the last slot."""
-        at = F.instr(F.lit(_ALPHABET), F.substr(candidate, i, F.lit(1)))
-        return F.when(at > 0, at).otherwise(F.lit(slots))
-
-    def step(have: Column, i: Column) -> Column:
-        enters, leaves = slot(i), F.when(i > window, slot(i - window)).otherwise(F.lit(0))
-        up = F.element_at(have["counts"], enters)
-        down = F.element_at(have["counts"], F.greatest(leaves, F.lit(1)))
-        same = enters == leaves
-        total = F.when(same, have["sum"]).otherwise(
-            have["sum"] + F.element_at(weight, up + 2) - F.element_at(weight, up + 1) + F.when(leaves > 0, F.element_at(weight, down) - F.element_at(weight, down + 1)).otherwise(F.lit(0.0))
-        )
-        counts = F.transform(have["counts"], lambda n, k: n + (k + 1 == enters).cast("int") - (k + 1 == leaves).cast("int"))
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(i >= window, F.least(have["least"], total)).otherwise(have["least"]).alias("least"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), start, step, lambda have: F.lit(math.log2(window)) - have["least"] / window)
+        at = F.instr(F.lit(_ALPHABET), character)
+        return F.when((at > 0) & (character != ""), at).otherwise(F.lit(slots))
+
+    def slide(places: Column) -> Column:
+        def step(have: Column, i: Column) -> Column:
+            enters, leaves = F.element_at(places, i), F.when(i > window, F.element_at(places, F.greatest(i - window, F.lit(1)))).otherwise(F.lit(0))
+            up = F.element_at(have["counts"], enters)
+            down = F.element_at(have["counts"], F.greatest(leaves, F.lit(1)))
+            total = F.when(enters == leaves, have["sum"]).otherwise(
+                have["sum"] + F.element_at(weight, up + 2) - F.element_at(weight, up + 1) + F.when(leaves > 0, F.element_at(weight, down) - F.element_at(weight, down + 1)).otherwise(F.lit(0.0))
+            )
+            counts = F.transform(have["counts"], lambda n, k: n + (k + 1 == enters).cast("int") - (k + 1 == leaves).cast("int"))
+            return F.struct(counts.alias("counts"), total.alias("sum"), F.when(i >= window, F.least(have["least"], total)).otherwise(have["least"]).alias("least"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), start, step, lambda have: F.lit(math.log2(window)) - have["least"] / window)
+
+    # Characters are told apart once: to find the n-th one in a string takes n steps.
+    return _let(F.transform(F.split(candidate, ""), slot), slide)
 
 
 def _entropy_spans(text: Column) -> Column:
