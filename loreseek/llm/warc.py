@@ -111,7 +111,7 @@ class _Files:
         if self.out is None or self.at > ROLL:
             self.close()
             self.name, self.at = f"{uuid.uuid4().hex}{self.suffix}", 0
-            self.out = self.store.open_output_stream(f"{self.folder}/{self.name}")
+            self.out = self.store.open_output_stream(f"{self.folder}/{self.name}", compression=None)
         self.out.write(data)
         self.at += len(data)
         return self.name, self.at - len(data), len(data)
@@ -190,7 +190,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
 def members(folder: str, name: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records of an archive file, read from start to end in parts."""
     store, folder = fs.FileSystem.from_uri(folder)
-    with store.open_input_stream(f"{folder}/{name}") as stream:
+    with store.open_input_stream(f"{folder}/{name}", compression=None) as stream:
         unpacker, data, rest = zlib.decompressobj(31), [], b""
         while chunk := rest or stream.read(1 << 20):
             data.append(unpacker.decompress(chunk))
