@@ -13,8 +13,10 @@ direction), or, where the local cosine threshold is high, by coordinate: on the
 query's largest coordinates a vector at that cosine lies within bounds. What
 remains is verified by whole products.
 
-Queries go in blocks of ``QUERIES``; buckets meet each block once, by an equal
-join on the block's number, and only k rows a query leave a bucket.
+Queries go in blocks of ``QUERIES``, and buckets are dealt to groups of about
+``GROUP``. Each block is sent to each group and meets the group's buckets by an
+equal join on the group's number: so vectors move once, a task holds one group,
+and only k rows a query leave a bucket.
 
 Defined results: vectors that are null or hold null or non-finite components
 take no part, nor do rows with a null id or no components; a query meets the
@@ -40,6 +42,8 @@ EVERY = 100
 SCALE = 1024
 BUCKET = 4096  # vectors of a bucket, about
 QUERIES = 1024  # queries of a block
+NUMBERS = 1 << 20  # components of a bucket or a block, at most
+GROUP = 32  # buckets of a group
 FOCUS = 3  # coordinates that are tested
 STEEP = 0.8  # local cosine threshold from which coordinates prune
 _EXACT = float(1 << 52)
@@ -131,7 +135,9 @@ def _kept(query_id: int, scores: np.ndarray, ids: np.ndarray, threshold: float,
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, bucket: int = BUCKET, block: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of each row whose id ``every`` divides, among ``vectors`` (vec_id, embedding)."""
-    scratch = Scratch(vectors.sparkSession, "topk")
+    spark = vectors.sparkSession
+    scratch = Scratch(spark, "topk")
+    room = lambda most: F.least(F.lit(most), F.greatest(F.lit(16), F.floor(F.lit(NUMBERS) / F.col("dims"))))
     all_vectors = scratch.table(usable(vectors), "vectors")
     # Buckets of about equal size: classes of length to three digits, cut where the running count passes a multiple.
     digits = F.when(F.col("length") > 0, F.floor(F.log10("length") * 1000)).otherwise(F.lit(-400_000)).cast("int")
@@ -139,14 +145,14 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, bucket: int = BUCK
     longest = Window.partitionBy("dims").orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, -1)
     classes = classes.withColumn("before", F.coalesce(F.sum("n").over(longest), F.lit(0)))
     # A class beyond a bucket's size is salted into several buckets.
-    classes = scratch.table(classes.select(F.col("dims").alias("d"), F.col("class").alias("l"), F.floor(F.col("before") / bucket).cast("int").alias("bucket"), F.ceil(F.col("n") / bucket).cast("int").alias("parts")), "classes")
+    classes = scratch.table(classes.select(F.col("dims").alias("d"), F.col("class").alias("l"), F.floor(F.col("before") / room(bucket)).cast("int").alias("bucket"), F.ceil(F.col("n") / room(bucket)).cast("int").alias("parts")), "classes")
     placed = all_vectors.withColumn("class", digits).join(classes, (F.col("dims") == F.col("d")) & (F.col("class") == F.col("l")))
     placed = placed.select("dims", "bucket", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "v", "length")
     packed = placed.groupBy("dims", "bucket", "part").agg(F.collect_list(F.struct("vec_id", "length", "v")).alias("rows"))
     buckets = scratch.table(packed.select("dims", "bucket", "part", F.col("rows.vec_id").alias("ids"), F.col("rows.length").alias("lengths"), F.flatten("rows.v").alias("flat")), "buckets")
 
     asked = all_vectors.filter(F.col("vec_id") % every == 0)
-    blocks = asked.groupBy("dims").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).withColumnRenamed("dims", "d")
+    blocks = asked.groupBy("dims").agg(F.count("*").alias("n")).select(F.col("dims").alias("d"), F.ceil(F.col("n") / room(block)).cast("int").alias("blocks"))
     asked = asked.join(blocks, F.col("dims") == F.col("d")).select("dims", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "v", "length")
     questions = asked.groupBy("dims", "block").agg(F.collect_list(F.struct("vec_id", "length", "v")).alias("rows"))
     questions = scratch.table(questions.select(F.col("dims").alias("d"), F.col("block").alias("b"), F.col("rows.vec_id").alias("q_ids"), F.col("rows.length").alias("q_lengths"), F.flatten("rows.v").alias("q_flat")), "questions")
@@ -166,17 +172,22 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, bucket: int = BUCK
     shape = "query_id long, vec_id long, score long"
     columns = ["dims", "ids", "lengths", "flat", "q_ids", "q_lengths", "q_flat", "known"]
     ranked = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
-    on = F.col("dims") == F.col("d")
-    first = buckets.filter("bucket = 0 and part = 0").join(questions, on).withColumn("known", F.lit(None).cast("map<long,double>"))
+    # The seed bucket of each dimension stands once beside each block.
+    first = buckets.filter("bucket = 0 and part = 0").join(blocks, F.col("dims") == F.col("d")).select("dims", "ids", "lengths", "flat", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    first = first.join(questions, (F.col("dims") == F.col("d")) & (F.col("block") == F.col("b"))).withColumn("known", F.lit(None).cast("map<long,double>"))
     seed = scratch.table(ranked(first.select(*columns).mapInArrow(search, shape)), "seed")
     known = seed.filter(F.col("rank") == k).join(asked.select("dims", "block", F.col("vec_id").alias("query_id")), "query_id")
     # Neighbouring doubles are 1 apart only up to 2**53; beyond, the threshold is lowered to stay below the score.
     low = F.col("score").cast("double") - F.abs(F.col("score").cast("double")) * 1e-15
     known = known.groupBy(F.col("dims").alias("kd"), F.col("block").alias("kb")).agg(F.map_from_entries(F.collect_list(F.struct("query_id", low.alias("t")))).alias("known"))
-    rest = buckets.filter("not (bucket = 0 and part = 0)").join(questions, on)
-    rest = rest.join(known, (F.col("d") == F.col("kd")) & (F.col("b") == F.col("kb")), "left").select(*columns)
-    parts = vectors.sparkSession.sparkContext.defaultParallelism
-    found = seed.select("query_id", "vec_id", "score").union(rest.repartition(4 * parts).mapInArrow(search, shape))
+    number = buckets.count()
+    groups = max(1, -(-number // GROUP), min(number, 2 * spark.sparkContext.defaultParallelism))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rest = buckets.filter("not (bucket = 0 and part = 0)").withColumn("g", F.pmod(F.xxhash64("bucket", "part"), F.lit(groups)).cast("int")).repartition(tasks, "dims", "g")
+    sent = questions.join(known, (F.col("d") == F.col("kd")) & (F.col("b") == F.col("kb")), "left").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(tasks, "d", "group")
+    # The group's buckets, of bounded size, are the side that a sort-merge join holds.
+    met = sent.join(rest, (F.col("d") == F.col("dims")) & (F.col("group") == F.col("g"))).select(*columns)
+    found = seed.select("query_id", "vec_id", "score").union(met.mapInArrow(search, shape))
     return ranked(found).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
