@@ -21,6 +21,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -77,26 +78,19 @@ class Rewritten:
     """A text and, for each of its characters, the source characters it stands for and whether it was changed."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.starts, self.ends, self.changed = text, range(len(text)), range(1, len(text) + 1), bytearray(len(text))
+        self.text, self.starts, self.ends, self.changed = text, np.arange(len(text), dtype=np.int32), np.arange(1, len(text) + 1, dtype=np.int32), np.zeros(len(text), bool)
 
     def apply(self, edits: list[tuple[int, int, str]]) -> None:
         """Replaces [start, end) of the present text by a string; edits come in order and don't overlap."""
-        text, starts, ends, changed, at = [], [], [], bytearray(), 0
+        text, starts, ends, changed, at = [], [], [], [], 0
         for a, b, new in edits:
-            text.append(self.text[at:a])
-            starts += self.starts[at:a]
-            ends += self.ends[at:a]
-            changed += self.changed[at:a]
-            text.append(new)
-            starts += [self.starts[a]] * len(new)
-            ends += [self.ends[b - 1]] * len(new)
-            changed += b"\1" * len(new)
+            text += (self.text[at:a], new)
+            starts += (self.starts[at:a], np.full(len(new), self.starts[a]))
+            ends += (self.ends[at:a], np.full(len(new), self.ends[b - 1]))
+            changed += (self.changed[at:a], np.ones(len(new), bool))
             at = b
-        text.append(self.text[at:])
-        starts += self.starts[at:]
-        ends += self.ends[at:]
-        changed += self.changed[at:]
-        self.text, self.starts, self.ends, self.changed = "".join(text), starts, ends, changed
+        self.text = "".join([*text, self.text[at:]])
+        self.starts, self.ends, self.changed = (np.concatenate([*parts, last[at:]]) for parts, last in ((starts, self.starts), (ends, self.ends), (changed, self.changed)))
 
 
 _GLYPHS = {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)}
@@ -113,7 +107,10 @@ _EACH = re.compile(r"(?i)[^\s,-]+")
 
 _AT = re.compile(r"(?i)\s{0,2}[\[({<]\s{0,2}at\s{0,2}[\])}>]\s{0,2}")
 _DOT = re.compile(r"(?i)\s{0,2}[\[({<]\s{0,2}(?:dot|punkt|point|punto)\s{0,2}[\])}>]\s{0,2}")
-_PLAIN = re.compile(r"(?i)(?<=[a-z0-9])\s(at)\s(?=[a-z0-9-]+(?:\s(?:dot)\s|\.)[a-z0-9-])|(?<=[a-z0-9])\s(dot)\s(?=[a-z0-9])")
+#: Plain words are a disguise only before one of these endings, which are no English words; "look at the dot" is prose.
+_ENDINGS = "com org net edu gov info biz dev app io ai co eu uk de ch fr es nl"
+_PLAIN = re.compile(rf"(?i)(?<=[a-z0-9])(?:\sat\s|@)[a-z0-9-]+(?:(?:\sdot\s|\.)[a-z0-9-]+){{0,4}}?\sdot\s(?:{_ENDINGS.replace(' ', '|')})\b(?!\sdot\s)")
+_SIGN = re.compile(r"(?i)\s(at|dot)\s")
 
 
 def rewrite(text: str) -> Rewritten | None:
@@ -131,13 +128,10 @@ def rewrite(text: str) -> Rewritten | None:
         edits = sorted([(m.start(), m.end(), "@") for m in _AT.finditer(new.text)] + [(m.start(), m.end(), ".") for m in _DOT.finditer(new.text)])
         if edits := [e for k, e in enumerate(edits) if not k or edits[k - 1][1] <= e[0]]:
             new.apply(edits)
-    lowered = new.text.lower()
-    if " dot " in lowered or " at " in lowered and "." in lowered:
-        # A plain word stands for a sign only where an address results, so the signs of a whole address are tried together.
-        edits = [(m.start(), m.end(), "@" if m.group(1) else ".") for m in _PLAIN.finditer(new.text)]
-        if any(e[2] == "@" for e in edits) and any(e[2] == "." for e in edits) or "@" in new.text and edits:
+    if " dot " in new.text.lower():
+        if edits := [(m.start() + x.start(), m.start() + x.end(), "@" if x.group(1).lower() == "at" else ".") for m in _PLAIN.finditer(new.text) for x in _SIGN.finditer(m.group())]:
             new.apply(edits)
-    return new if any(new.changed) or len(new.text) != len(text) else None
+    return new if new.changed.any() or len(new.text) != len(text) else None
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
@@ -148,8 +142,8 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
         return base, base
     added = set()
     for a, kind, b in base_spans(new.text):
-        start, end = new.starts[a], new.ends[b - 1]
-        touched = any(new.changed[a:b]) or end - start != b - a
+        start, end = int(new.starts[a]), int(new.ends[b - 1])
+        touched = bool(new.changed[a:b].any()) or end - start != b - a
         if touched and not any(k == kind and s < end and start < e for s, k, e in base):
             added.add((start, kind, end))
     return base, sorted([*base, *added])
@@ -188,9 +182,9 @@ def mask(text: str) -> str:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """``docs`` with masked texts; all columns stay, and n_chars, where there is one, follows the text."""
+    """``docs`` with masked texts; all columns stay, and n_chars, where it is a whole number, follows the text."""
     schema, place = docs.schema, docs.columns.index("text")
-    length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    length = docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("int", "bigint") else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 8 << 20):
