@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreseek.llm.common import WORD, Scratch
+from loreseek.llm.common import WORD, Scratch, unused
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -116,12 +116,12 @@ def mixed(docs: DataFrame) -> DataFrame:
     reduced to its epochs and the last key that is in, so the texts meet one row per source and aren't shuffled.
     """
     inside = F.when((F.col("some") > 0) & (2 * F.col("some") >= F.col("size")), F.col("key"))
+    name, epochs, last, copies, copy = unused(docs, "_s", "_epochs", "_last", "_copies", "_copy")
     sources = decided(docs).groupBy("source").agg(F.first("epochs").alias("epochs"), F.max(inside).alias("last"))
-    sources = Scratch(docs.sparkSession, "mixing").table(sources.select(F.col("source").alias("_s"), F.col("epochs").alias("_epochs"), F.col("last").alias("_last")), "sources")
-    columns = [F.col(c) for c in docs.columns]
-    copies = (F.col("_epochs") + F.coalesce(_key() <= F.col("_last"), F.lit(False)).cast("long")).cast("int")
-    joined = docs.join(sources, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_copies", copies).filter("_copies > 0")
-    return joined.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    sources = Scratch(docs.sparkSession, "mixing").table(sources.select(F.col("source").alias(name), F.col("epochs").alias(epochs), F.col("last").alias(last)), "sources")
+    times = (F.col(epochs) + F.coalesce(_key() <= F.col(last), F.lit(False)).cast("long")).cast("int")
+    joined = docs.join(sources, F.col("source").eqNullSafe(F.col(name))).withColumn(copies, times).filter(F.col(copies) > 0)
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)
 
 
 #: The same in DuckDB SQL, without the buckets, which change no result.

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loreseek.llm.common import Scratch, connected_components, pieces
+from loreseek.llm.common import Scratch, connected_components, pieces, unused
 
 RADIUS = 3
 TILE = 1024
@@ -202,17 +202,18 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each component of ``docs``, with all its columns: the one with the smallest id."""
     each, root = _components(docs, radius)
     least = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("m")  # null ids come last
-    kept = root.groupBy("root").agg(least).select(F.col("m.least").alias("_id"), F.col("m.fp").alias("_fp"))
+    name, near, own = unused(docs, "_id", "_fp", "_own")
+    kept = root.groupBy("root").agg(least).select(F.col("m.least").alias(name), F.col("m.fp").alias(near))
     if each.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty():
-        return docs.join(kept, docs.doc_id == F.col("_id"), "left_semi")
+        return docs.join(kept, F.col("doc_id") == F.col(name), "left_semi")
     # Ids that are shared or null don't name a row: here the fingerprint is part of the name, and equal rows fall together.
     place, schema = docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 8 << 20):
             fp = np.fromiter((fingerprint((t or "").encode()) for t in batch.column(place).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, "_own"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], names=[*batch.schema.names, own])
 
-    named = docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField("_own", T.LongType())]))
-    chosen = named.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_fp")), "left_semi")
-    return chosen.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    named = docs.mapInArrow(run, T.StructType([*schema.fields, T.StructField(own, T.LongType())]))
+    chosen = named.join(kept, F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(own) == F.col(near)), "left_semi")
+    return chosen.dropDuplicates(["doc_id", own]).drop(own)
