@@ -41,8 +41,8 @@ def tokens(text: Column, stem: bool = True) -> Column:
     return stems(F.coalesce(ascii_tokens(text), F.array().cast("array<string>")))
 
 
-def build(docs: DataFrame, stem: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) of ``docs`` (blob_hash, content).
+def build(docs: DataFrame, stem: bool = True, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of ``docs`` (blob_hash, content). only: the terms wanted, where the index isn't kept.
 
     Postings are ranged by term and document before they are grouped: one shuffle gives groups, files
     sorted by term (so scans skip row groups), and several tasks to a term that most documents hold.
@@ -50,7 +50,8 @@ def build(docs: DataFrame, stem: bool = True) -> tuple[DataFrame, DataFrame]:
     listed = docs.select("blob_hash", tokens(F.col("content"), stem).alias("tokens"))
     lengths = listed.select("blob_hash", F.greatest(F.size("tokens"), F.lit(0)).alias("dl"))
     each = listed.select("blob_hash", F.posexplode("tokens").alias("pos", "term"))
-    grouped = each.repartitionByRange("term", "blob_hash").groupBy("term", "blob_hash")
+    ranged = each.repartitionByRange("term", "blob_hash") if only is None else each.filter(F.col("term").isin(only))
+    grouped = ranged.groupBy("term", "blob_hash")
     postings = grouped.agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     return postings, lengths
 

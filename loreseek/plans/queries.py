@@ -56,9 +56,10 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "embeddings").select("vec_id", "label", quantize(F.col("embedding")).alias("q"))
 
 
-def _asked(spark: SparkSession, d: str) -> Column:
-    """The first vector, as the query."""
-    return _read(spark, d, "embeddings").filter("vec_id = 0").select("embedding").scalar()
+def _asked(spark: SparkSession, d: str) -> list[float]:
+    """The first vector, as the query: a point lookup, as an embedding endpoint would answer it on the driver."""
+    row = _read(spark, d, "embeddings").filter("vec_id = 0").select("embedding").first()
+    return list(row[0]) if row and row[0] else []
 
 
 def _scored(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -237,7 +238,7 @@ def context_errors(spark, d):
 
 
 def _keyword(spark, d, query, stem=False):
-    postings, lengths = fts.build(_contents(spark, d), stem)
+    postings, lengths = fts.build(_contents(spark, d), stem, fts.tokens_of(query, stem))
     terms = fts.phrase_terms(spark.createDataFrame([(0, query)], "query_id long, text string"), stem)
     return postings, lengths, terms
 
@@ -256,11 +257,11 @@ def fts_phrase(spark, d):
 
 
 def fts_porter(spark, d):
-    return _scored(fts.bm25(*_keyword(spark, d, "ending of-the", stem=True)).select("blob_hash", "bm25"))
+    return _scored(fts.bm25(*_keyword(spark, d, "ings of-the", stem=True)).select("blob_hash", "bm25"))
 
 
 def fts_vocabulary(spark, d):
-    postings, _, _ = _keyword(spark, d, WORDS)
+    postings, _ = fts.build(_contents(spark, d), stem=False)
     return postings.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
 
 

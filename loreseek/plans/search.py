@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from loreseek.functions.scores import BM25_WEIGHT, Weights, blend, min_max, recency, three_signal
@@ -11,7 +11,11 @@ from loreseek.operators import fts
 from loreseek.operators.relational import first_seen, paths_for
 
 OVER_FETCH, LEAST_FETCH = 3, 50
-_POOL = Window.partitionBy("query_id")
+
+
+def _pool() -> WindowSpec:
+    """One query's candidates."""
+    return Window.partitionBy("query_id")
 
 
 def over_fetch(top_k: int, multiplier: int = OVER_FETCH, least: int = LEAST_FETCH) -> int:
@@ -28,7 +32,7 @@ def keyword_only(fts_hits: DataFrame, path_entry: DataFrame, top_k: int, branch:
     """Degraded search. fts_hits: query_id, blob_hash, bm25, cut to the fetch limit already; the branch filters after that limit."""
     if branch is not None:
         fts_hits = fts_hits.join(branch, "blob_hash", "left_semi")
-    scored = fts_hits.select("query_id", "blob_hash", min_max(-F.col("bm25"), _POOL).alias("score"))
+    scored = fts_hits.select("query_id", "blob_hash", min_max(-F.col("bm25"), _pool()).alias("score"))
     kept = fts.best(scored, top_k, "score", descending=True)
     paths = paths_for(_of(path_entry, kept.select("blob_hash").distinct()))
     return _matches(kept.join(paths, "blob_hash", "left"), "FTS", True)
@@ -42,19 +46,19 @@ def hybrid(queries: DataFrame, vector_hits: DataFrame, fts_hits: DataFrame, path
     """
     if branch is not None:
         fts_hits = fts_hits.join(branch, "blob_hash", "left_semi")
-    vector = vector_hits.select("query_id", "blob_hash", min_max(F.col("score"), _POOL).alias("v"))
-    keyword = fts_hits.select("query_id", "blob_hash", min_max(-F.col("bm25"), _POOL).alias("b"))
+    vector = vector_hits.select("query_id", "blob_hash", min_max(F.col("score"), _pool()).alias("v"))
+    keyword = fts_hits.select("query_id", "blob_hash", min_max(-F.col("bm25"), _pool()).alias("b"))
     pool = vector.join(keyword, ["query_id", "blob_hash"], "full_outer").select("query_id", "blob_hash", blend(F.col("v"), F.col("b"), bm25_weight).alias("blended"))
     candidates = pool.select("blob_hash").distinct()
     paths = paths_for(_of(path_entry, candidates))
     seen = first_seen(_of(blob_commit, candidates), commits)
     full = pool.join(F.broadcast(queries.select("query_id", "text")), "query_id").join(paths, "blob_hash", "left").join(seen, "blob_hash", "left")
-    signals = full.select("query_id", "blob_hash", "paths", "blended", recency(F.col("first_seen"), _POOL).alias("recent"), best_path_relevance(F.col("text"), F.col("paths")).alias("relevance"))
+    signals = full.select("query_id", "blob_hash", "paths", "blended", recency(F.col("first_seen"), _pool()).alias("recent"), best_path_relevance(F.col("text"), F.col("paths")).alias("relevance"))
     scored = signals.select("query_id", "blob_hash", "paths", three_signal(F.col("blended"), F.col("recent"), F.col("relevance"), weights).alias("score"))
     return _matches(fts.best(scored, top_k, "score", descending=True), "HYBRID", False)
 
 
 def _matches(rows: DataFrame, provenance: str, degraded: bool) -> DataFrame:
     """The rows of a result; spans are placeholders, files being indexed whole."""
-    rank = F.row_number().over(_POOL.orderBy(F.desc("score"), "blob_hash")).cast("int")
+    rank = F.row_number().over(_pool().orderBy(F.desc("score"), "blob_hash")).cast("int")
     return rows.select("query_id", rank.alias("rank"), "blob_hash", F.coalesce("paths", F.array().cast("array<string>")).alias("paths"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), "score", F.lit(provenance).alias("provenance"), F.lit(degraded).alias("degraded"))
