@@ -26,7 +26,7 @@ def fixed_spans(text: str, window: int = WINDOW, overlap: int = OVERLAP) -> list
     """(first line, last line) of each window, 1-based.
 
     A window takes lines until they come to ``window`` UTF-16 units, line feeds counted; the next one starts
-    on the line where all but ``overlap`` units of the window are passed, and at least one line later.
+    on the line that brings the window to all but ``overlap`` of its units, and at least one line later.
     """
     window = max(1, window)
     overlap = min(max(0, overlap), window - 1)
@@ -46,7 +46,7 @@ def fixed_spans(text: str, window: int = WINDOW, overlap: int = OVERLAP) -> list
             passed += sizes[landing]
             if passed >= total - overlap:
                 break
-        start = max(start + 1, landing + 1)
+        start = max(start + 1, landing)
 
 
 class FixedChunker:

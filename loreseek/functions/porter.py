@@ -45,11 +45,11 @@ def stem(word: str) -> str:
     if not 3 <= len(word.encode()) <= 64:
         return word
     w = word
-    if w.endswith("sses") or w.endswith("ies"):
+    if w.endswith("sses") and len(w) > 4 or w.endswith("ies") and len(w) > 3:
         w = w[:-2]
     elif w.endswith("s") and not w.endswith("ss"):
         w = w[:-1]
-    if w.endswith("eed"):
+    if w.endswith("eed") and len(w) > 3:
         if _measure(w[:-3]) > 0:
             w = w[:-1]
     else:

@@ -1,4 +1,4 @@
-"""DuckDB SQL for the registered queries, written independently of the DataFrame plans.
+"""DuckDB SQL for the registered queries. It follows the same reading of the semantics as the plans; fixed cases in the tests hold both.
 
 Left out is what SQL does not express here: stemmed keyword search (``fts_porter``).
 """
@@ -32,7 +32,7 @@ r(blob_hash, w, many, upto, chars, chunk_index, a, before, z) AS (
   SELECT blob_hash, w, many, upto, chars, 0, 1::BIGINT, 0::BIGINT, coalesce(list_min(list_filter(range(1, many + 1), lambda k: upto[k] >= w)), many) FROM m
   UNION ALL
   SELECT blob_hash, w, many, upto, chars, chunk_index + 1, a2, upto[a2 - 1], coalesce(list_min(list_filter(range(a2, many + 1), lambda k: upto[k] - upto[a2 - 1] >= w)), many)
-  FROM (SELECT *, greatest(a + 1, 1 + list_min(list_filter(range(a, z + 1), lambda k: upto[k] - before >= upto[z] - before - {overlap}))) AS a2 FROM r WHERE z < many)),
+  FROM (SELECT *, greatest(a + 1, list_min(list_filter(range(a, z + 1), lambda k: upto[k] - before >= upto[z] - before - {overlap}))) AS a2 FROM r WHERE z < many)),
 s AS (SELECT blob_hash, w, chunk_index, a, z, chars[z] - CASE WHEN a > 1 THEN chars[a - 1] ELSE 0 END - 1 AS n_chars FROM r)"""
 
 
