@@ -41,8 +41,8 @@ def tokens(text: Column, stem: bool = True) -> Column:
     return stems(F.coalesce(ascii_tokens(text), F.array().cast("array<string>")))
 
 
-def build(docs: DataFrame, stem: bool = True, only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) of ``docs`` (blob_hash, content). only: the terms wanted, where the index isn't kept.
+def build(docs: DataFrame, stem: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of ``docs`` (blob_hash, content).
 
     Postings are ranged by term and document before they are grouped: one shuffle gives groups, files
     sorted by term (so scans skip row groups), and several tasks to a term that most documents hold.
@@ -50,12 +50,27 @@ def build(docs: DataFrame, stem: bool = True, only: list[str] | None = None) ->
     listed = docs.select("blob_hash", tokens(F.col("content"), stem).alias("tokens"))
     lengths = listed.select("blob_hash", F.greatest(F.size("tokens"), F.lit(0)).alias("dl"))
     each = listed.select("blob_hash", F.posexplode("tokens").alias("pos", "term"))
-    ranged = each.repartitionByRange("term", "blob_hash") if only is None else each.filter(F.col("term").isin(only))
-    grouped = ranged.groupBy("term", "blob_hash")
+    grouped = each.repartitionByRange("term", "blob_hash").groupBy("term", "blob_hash")
     postings = grouped.agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     return postings, lengths
 
 
+def build_for(docs: DataFrame, terms: list[str], stem: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) as ``build`` gives them, postings of a few terms only: for texts that have no index.
+
+    ``docs`` (blob_hash, content) may hold a blob several times. A text is read once and reduced to its length and
+    the places of the terms before anything moves; both results share that one exchange.
+    """
+    listed = docs.select("blob_hash", tokens(F.col("content"), stem).alias("tokens"))
+    places = F.filter(F.transform("tokens", lambda t, k: F.struct(t.alias("t"), k.alias("k"))), lambda x: x["t"].isin(terms))
+    reduced = listed.select("blob_hash", F.struct(F.greatest(F.size("tokens"), F.lit(0)).alias("dl"), places.alias("places")).alias("r"))
+    once = reduced.groupBy("blob_hash").agg(F.first("r").alias("r"))
+    lengths = once.select("blob_hash", "r.dl")
+    of = lambda t: F.struct(t.alias("term"), F.transform(F.filter("r.places", lambda x: x["t"] == t), lambda x: x["k"]).alias("positions"))
+    each = once.select("blob_hash", F.explode(F.transform(F.lit(sorted(set(terms))).cast("array<string>"), of)).alias("p")).filter(F.size("p.positions") > 0)
+    return each.select("p.term", "blob_hash", F.size("p.positions").alias("tf"), "p.positions"), lengths
+
+
 def phrase_terms(queries: DataFrame, stem: bool = True) -> DataFrame:
     """(query_id, phrase_no, i, term, many) of ``queries`` (query_id, text): the terms of each phrase and their number."""
     phrases = queries.select("query_id", F.posexplode(query_phrases(F.col("text"))).alias("phrase_no", "phrase"))
@@ -66,10 +81,11 @@ def phrase_terms(queries: DataFrame, stem: bool = True) -> DataFrame:
 def phrase_counts(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, phrase_no, blob_hash, tf): how often a document holds a phrase."""
     hits = postings.join(terms, "term")
-    single = hits.filter("many = 1").select("query_id", "phrase_no", "blob_hash", F.col("tf").cast("long").alias("tf"))
-    starts = hits.filter("many > 1").select("query_id", "phrase_no", "blob_hash", "many", F.explode("positions").alias("pos"), "i")
-    runs = starts.groupBy("query_id", "phrase_no", "blob_hash", "many", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("n")).filter("n = many")
-    return single.union(runs.groupBy("query_id", "phrase_no", "blob_hash").agg(F.count("*").alias("tf")))
+    # The places at which a phrase would begin, for each of its terms; it is there where all agree.
+    starts = F.transform("positions", lambda p: p - F.col("i"))
+    found = hits.groupBy("query_id", "phrase_no", "blob_hash", "many").agg(F.collect_list(starts).alias("starts")).filter(F.size("starts") == F.col("many"))
+    common = F.aggregate(F.slice("starts", 2, F.greatest(F.col("many"), F.lit(1))), F.col("starts")[0], lambda a, b: F.array_intersect(a, b))
+    return found.select("query_id", "phrase_no", "blob_hash", F.size(common).cast("long").alias("tf")).filter("tf > 0")
 
 
 def match(counts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -81,14 +97,13 @@ def match(counts: DataFrame, terms: DataFrame) -> DataFrame:
 def bm25(postings: DataFrame, lengths: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, blob_hash, bm25) of the matching documents."""
     counts = phrase_counts(postings, terms)
-    docs = lengths.agg(F.count("*").alias("docs"), F.avg("dl").alias("mean"))
+    totals = lengths.agg(F.struct(F.count("*").alias("docs"), F.avg("dl").alias("mean")).alias("totals"))
     spread = counts.groupBy("query_id", "phrase_no").agg(F.count("*").alias("n"))
     wanted = terms.groupBy("query_id").agg(F.countDistinct("phrase_no").alias("wanted"))
     idf = F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weight = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-    # One row of totals; as scalar subqueries they join nothing.
-    scored = counts.join(spread, ["query_id", "phrase_no"]).join(lengths, "blob_hash")
-    scored = scored.withColumn("docs", docs.select("docs").scalar()).withColumn("mean", docs.select("mean").scalar())
+    # One row of totals; as a scalar subquery it joins nothing.
+    scored = counts.join(spread, ["query_id", "phrase_no"]).join(lengths, "blob_hash").withColumn("totals", totals.scalar()).select("*", "totals.docs", "totals.mean")
     part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
     summed = scored.groupBy("query_id", "blob_hash").agg((-F.sum(part)).alias("bm25"), F.count("*").alias("n"))
     return summed.join(wanted, "query_id").filter("n = wanted").select("query_id", "blob_hash", "bm25")

@@ -20,6 +20,7 @@ from loreseek.functions.vectors import dequantize, quantize
 from loreseek.operators import evaluation, fts, relational, vector_search, walk
 from loreseek.operators.fallback import embed_with_fallback
 from loreseek.plans import search
+from loreseek.session import spread
 
 WORDS, PHRASE = "the and that", "of-the and"
 MODEL_K, CAP = 10, 20_000
@@ -51,6 +52,11 @@ def _contents(spark: SparkSession, d: str) -> DataFrame:
     return _blobs(spark, d).select("blob_hash", "content").dropDuplicates(["blob_hash"])
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """blob_hash, content: for work that takes long on each text."""
+    return spread(_read(spark, d, "documents").select("text")).select(F.sha1("text").alias("blob_hash"), F.col("text").alias("content"))
+
+
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     """vec_id, label, q: quantised embeddings."""
     return _read(spark, d, "embeddings").select("vec_id", "label", quantize(F.col("embedding")).alias("q"))
@@ -238,7 +244,7 @@ def context_errors(spark, d):
 
 
 def _keyword(spark, d, query, stem=False):
-    postings, lengths = fts.build(_contents(spark, d), stem, fts.tokens_of(query, stem))
+    postings, lengths = fts.build_for(_texts(spark, d), fts.tokens_of(query, stem), stem)
     terms = fts.phrase_terms(spark.createDataFrame([(0, query)], "query_id long, text string"), stem)
     return postings, lengths, terms
 
@@ -261,7 +267,7 @@ def fts_porter(spark, d):
 
 
 def fts_vocabulary(spark, d):
-    postings, _ = fts.build(_contents(spark, d), stem=False)
+    postings, _ = fts.build(_texts(spark, d).dropDuplicates(["blob_hash"]), stem=False)
     return postings.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
 
 

