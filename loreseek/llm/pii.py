@@ -107,10 +107,41 @@ _EACH = re.compile(r"(?i)[^\s,-]+")
 
 _AT = re.compile(r"(?i)\s{0,2}[\[({<]\s{0,2}at\s{0,2}[\])}>]\s{0,2}")
 _DOT = re.compile(r"(?i)\s{0,2}[\[({<]\s{0,2}(?:dot|punkt|point|punto)\s{0,2}[\])}>]\s{0,2}")
-#: Plain words are a disguise only before one of these endings, which are no English words; "look at the dot" is prose.
-_ENDINGS = "com org net edu gov info biz dev app io ai co eu uk de ch fr es nl"
-_PLAIN = re.compile(rf"(?i)(?<=[a-z0-9])(?:\sat\s|@)[a-z0-9-]+(?:(?:\sdot\s|\.)[a-z0-9-]+){{0,4}}?\sdot\s(?:{_ENDINGS.replace(' ', '|')})\b(?!\sdot\s)")
-_SIGN = re.compile(r"(?i)\s(at|dot)\s")
+#: A plain sign counts only where a complete address results: a local part, an at, a dot, and an ending of letters.
+_PLAIN = re.compile(r"(?i)(?<=[a-z0-9_%+-])(?:\s{1,2}at\s{1,2}|@)(?P<first>[a-z0-9-]++)(?:(?:\s{1,2}dot\s{1,2}|\.)[a-z0-9-]++)++")
+_ENDING = re.compile(r"(?i)(?:\s|\.)(?P<last>[a-z]{2,}|xn--[a-z0-9-]+)$")
+_SIGN = re.compile(r"(?i)\s{1,2}(at|dot)\s{1,2}")
+_BEFORE = re.compile(r"(?i)[a-z0-9_%+-](\s{1,2}dot\s{1,2})\Z")
+#: Fixed values: "look at the dot on the page" is prose, so after one of these words only a common ending makes an address.
+_DETERMINERS = frozenset("the a an this that these those each every any some one no his her its my our your their which what".split())
+_COMMON = frozenset("com org net edu gov info biz dev app io ai co eu uk de ch fr es nl".split())
+
+
+def _plain_signs(text: str) -> list[tuple[int, int, str]]:
+    """The edits of plain at and dot words, of whole addresses only."""
+    dots = " dot " in text.lower()
+    if not dots and "@" not in text:
+        return []
+    edits: list[tuple[int, int, str]] = []
+    free = 0
+    for m in _PLAIN.finditer(text):
+        ending = _ENDING.search(m.group()[-64:])
+        spelled = m.group()[0] != "@"
+        if ending is None or spelled and m.group("first").lower() in _DETERMINERS and ending.group("last").lower() not in _COMMON:
+            continue
+        signs, start = [], m.start()
+        while True:
+            while start > free and text[start - 1] in _LOCAL:
+                start -= 1
+            if (before := _BEFORE.search(text[max(free, start - 8) : start])) is None:
+                break
+            signs.append((start - len(before.group(1)), start, "."))
+            start -= len(before.group(1))
+        signs.reverse()
+        signs += [(m.start() + x.start(), m.start() + x.end(), "@" if x.group(1).lower() == "at" else ".") for x in _SIGN.finditer(m.group())]
+        edits += signs
+        free = m.end()
+    return edits
 
 
 def rewrite(text: str) -> Rewritten | None:
@@ -128,9 +159,8 @@ def rewrite(text: str) -> Rewritten | None:
         edits = sorted([(m.start(), m.end(), "@") for m in _AT.finditer(new.text)] + [(m.start(), m.end(), ".") for m in _DOT.finditer(new.text)])
         if edits := [e for k, e in enumerate(edits) if not k or edits[k - 1][1] <= e[0]]:
             new.apply(edits)
-    if " dot " in new.text.lower():
-        if edits := [(m.start() + x.start(), m.start() + x.end(), "@" if x.group(1).lower() == "at" else ".") for m in _PLAIN.finditer(new.text) for x in _SIGN.finditer(m.group())]:
-            new.apply(edits)
+    if edits := _plain_signs(new.text):
+        new.apply(edits)
     return new if new.changed.any() or len(new.text) != len(text) else None
 
 

@@ -117,3 +117,27 @@ def test_masking(edges, make_docs):
 def test_time_is_linear():
     for text in ("a" * 300_000 + "@", "1." * 150_000, "+1" + "(" * 300_000, "1 " * 150_000, "[at]" * 80_000, "one " * 80_000, "a at " * 60_000, "　" * 300_000, "@a" * 100_000):
         pii.all_spans(text)
+
+
+ADDRESSES = [
+    *((f"write to jane at example dot {end} now", f"jane at example dot {end}") for end in ("it", "pl", "se", "ru", "jp", "museum")),
+    ("write to jane@example dot se now", "jane@example dot se"),
+    ("write to john dot smith at example dot com.", "john dot smith at example dot com"),
+    ("write to john dot q dot smith@example dot com.", "john dot q dot smith@example dot com"),
+]
+
+
+@pytest.mark.parametrize(("text", "found"), ADDRESSES)
+def test_plain_signs_of_whole_addresses(text, found):
+    base, every = pii.all_spans(text)
+    assert not base and [(pii.KINDS[k], text[a:b]) for a, k, b in every] == [("email", found)]
+    assert pii.mask(text) == text.replace(found, "<EMAIL>")
+
+
+def test_plain_at_before_a_written_domain():
+    text = "a@b.org or jane at mail.example.org"
+    assert pii.mask(text) == "<EMAIL> or <EMAIL>"
+    for prose_text in ("a@b.org, we stare at the dot on the page", "point at each dot and count", "be there at 10.30 or a@b.org"):
+        assert len(pii.all_spans(prose_text)[1]) == prose_text.count("@")
+    for text in ("a dot " * 60_000, "a dot " * 60_000 + "at b dot com", "x at 1 dot " * 30_000, "@1 dot 1" * 40_000):
+        pii.all_spans(text)
