@@ -102,8 +102,52 @@ _GLYPH = re.compile("[" + "".join(map(re.escape, _GLYPHS)) + "]")
 
 _DIGITS = {w: str(k) for words in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "cero uno dos tres cuatro cinco seis siete ocho nueve", "zéro un deux trois quatre cinq six sept huit neuf") for k, w in enumerate(words.split())} | {"oh": "0"}
 _WORD = "(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + ")"
-_SPELLED = re.compile(rf"(?i)(?:\bplus[\s-]+)?\b{_WORD}(?:[\s,-]{{1,2}}{_WORD}){{6,}}\b")
-_EACH = re.compile(r"(?i)[^\s,-]+")
+_DOT_NAME = r"(?:dot|punkt|point|punto)"
+_GAP = rf"(?:\s{{0,2}}[\[({{<]\s{{0,2}}{_DOT_NAME}\s{{0,2}}[\])}}>]\s{{0,2}}|\s{{1,2}}{_DOT_NAME}\s{{1,2}}|[\s,().-]{{1,4}})"
+_ITEM = rf"(?:{_WORD}|[0-9]++)(?!\w)"
+#: Number words and digit groups in a row, with what may stand between the groups of an identifier.
+_CHAIN = re.compile(rf"(?i)(?:\bplus[\s-]{{1,2}}\(?)?(?<!\w){_ITEM}(?:{_GAP}{_ITEM})*+")
+_LOOSE = re.compile(r"[\s,-]+")
+_TOKEN = re.compile(rf"(?i)plus|{_WORD}|[0-9]+|(?P<dot>{_DOT_NAME})")
+
+
+def _spelled(text: str) -> list[tuple[int, int, str]]:
+    """The edits of number words, plus and dot words in chains that hold enough for an identifier."""
+    edits: list[tuple[int, int, str]] = []
+    for m in _CHAIN.finditer(text):
+        chain = m.group()
+        if chain.isdigit() or len(chain) < 7:
+            continue
+        tokens = list(_TOKEN.finditer(chain))
+        named = [t.group("dot") is not None for t in tokens]
+        words = sum(not t.group()[0].isdigit() for t in tokens)
+        digits = sum(len(t.group()) if t.group()[0].isdigit() else t.group().lower() in _DIGITS for t in tokens)
+        # A phone number has ten digits at least and a card more; an address has three dots.
+        if not words or digits < 10 and sum(named) + chain.count(".") < 3:
+            continue
+        at, last = m.start(), None
+        for t in tokens:
+            if t.group("dot"):
+                last = "."
+                continue
+            kind = "digits" if t.group()[0].isdigit() else "word"
+            if last is not None:
+                gap = text[at : m.start() + t.start()]
+                if last == ".":
+                    edits.append((at, m.start() + t.start(), "."))
+                elif last == "plus":
+                    edits.append((at, m.start() + t.start(), ""))
+                elif "word" in (last, kind):
+                    new = "" if last == kind and _LOOSE.fullmatch(gap) else re.sub(r"[\s,]+", " ", gap)
+                    if new != gap:
+                        edits.append((at, m.start() + t.start(), new))
+            at = m.start() + t.end()
+            word = t.group().lower()
+            if kind == "word":
+                edits.append((m.start() + t.start(), at, "+" if word == "plus" else _DIGITS[word]))
+            last = "plus" if word == "plus" else kind
+    return edits
+
 
 _AT = re.compile(r"(?i)\s{0,2}[\[({<]\s{0,2}at\s{0,2}[\])}>]\s{0,2}")
 _DOT = re.compile(r"(?i)\s{0,2}[\[({<]\s{0,2}(?:dot|punkt|point|punto)\s{0,2}[\])}>]\s{0,2}")
@@ -149,11 +193,7 @@ def rewrite(text: str) -> Rewritten | None:
     new = Rewritten(text)
     if not text.isascii() and (edits := [(m.start(), m.end(), _GLYPHS[m.group()]) for m in _GLYPH.finditer(text)]):
         new.apply(edits)
-    edits = []
-    for m in _SPELLED.finditer(new.text):
-        words = [w.lower() for w in _EACH.findall(m.group())]
-        edits.append((m.start(), m.end(), "".join("+" if w == "plus" else _DIGITS[w] for w in words)))
-    if edits:
+    if edits := _spelled(new.text):
         new.apply(edits)
     if any(c in new.text for c in "[({<"):
         edits = sorted([(m.start(), m.end(), "@") for m in _AT.finditer(new.text)] + [(m.start(), m.end(), ".") for m in _DOT.finditer(new.text)])

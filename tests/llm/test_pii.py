@@ -141,3 +141,32 @@ def test_plain_at_before_a_written_domain():
         assert len(pii.all_spans(prose_text)[1]) == prose_text.count("@")
     for text in ("a dot " * 60_000, "a dot " * 60_000 + "at b dot com", "x at 1 dot " * 30_000, "@1 dot 1" * 40_000):
         pii.all_spans(text)
+
+
+PARTLY_SPELLED = [
+    ("phone", "+49 30 one two three four five six"),
+    ("phone", "+1 650 five five five one two three"),
+    ("phone", "plus 49 30 one two three four five six"),
+    ("phone", "+one six five zero 253 0000"),
+    ("phone", "+49 (drei null) 123 four five 67"),
+    ("card", "4111 1111 1111 one one one one"),
+    ("card", "four one one one, 1111-1111 1111"),
+    ("ip", "one nine two dot one six eight dot zero dot one"),
+    ("ip", "192.168.zero.one"),
+    ("ip", "one zero [dot] 0 [dot] zero [dot] seven"),
+    ("ip", "192 dot 168 dot 0 dot 1"),
+]
+
+
+@pytest.mark.parametrize(("kind", "found"), PARTLY_SPELLED)
+def test_spelled_digits_within_partly_numeric_identifiers(kind, found):
+    text = f"it is {found} here"
+    base, every = pii.all_spans(text)
+    assert not base and [(pii.KINDS[k], text[a:b]) for a, k, b in every] == [(kind, found)]
+
+
+def test_spelled_numbers_of_prose():
+    for text in ("one, two. three. four. five", "in 2019 one of the two, 10 to one", "one 4 two 5 three 6 four 7 five 8 six 9", "point one two three", "someone four wonder"):
+        assert pii.all_spans(text) == ([], [])
+    for text in ("one 1 " * 40_000, "plus " * 60_000, "one dot " * 40_000, "1 dot " * 40_000, "+" * 100_000, "one(" * 60_000):
+        pii.all_spans(text)
