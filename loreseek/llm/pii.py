@@ -155,6 +155,7 @@ _DOT = re.compile(r"(?i)\s{0,2}[\[({<]\s{0,2}(?:dot|punkt|point|punto)\s{0,2}[\]
 _PLAIN = re.compile(r"(?i)(?<=[a-z0-9_%+-])(?:\s{1,2}at\s{1,2}|@)(?P<first>[a-z0-9-]++)(?:(?:\s{1,2}dot\s{1,2}|\.)[a-z0-9-]++)++")
 _ENDING = re.compile(r"(?i)(?:\s|\.)(?P<last>[a-z]{2,}|xn--[a-z0-9-]+)$")
 _SIGN = re.compile(r"(?i)\s{1,2}(at|dot)\s{1,2}")
+_DOT_WORD = re.compile(r"(?i)\sdot\s")
 _BEFORE = re.compile(r"(?i)[a-z0-9_%+-](\s{1,2}dot\s{1,2})\Z")
 #: Fixed values: "look at the dot on the page" is prose, so after one of these words only a common ending makes an address.
 _DETERMINERS = frozenset("the a an this that these those each every any some one no his her its my our your their which what".split())
@@ -163,7 +164,7 @@ _COMMON = frozenset("com org net edu gov info biz dev app io ai co eu uk de ch f
 
 def _plain_signs(text: str) -> list[tuple[int, int, str]]:
     """The edits of plain at and dot words, of whole addresses only."""
-    dots = " dot " in text.lower()
+    dots = _DOT_WORD.search(text) is not None
     if not dots and "@" not in text:
         return []
     edits: list[tuple[int, int, str]] = []

@@ -170,3 +170,8 @@ def test_spelled_numbers_of_prose():
         assert pii.all_spans(text) == ([], [])
     for text in ("one 1 " * 40_000, "plus " * 60_000, "one dot " * 40_000, "1 dot " * 40_000, "+" * 100_000, "one(" * 60_000):
         pii.all_spans(text)
+
+
+@pytest.mark.parametrize("found", ["jane at example dot\ncom", "jane at example\tdot\tcom", "jane\nat example\r\ndot com", "jane at example  dot  com"])
+def test_signs_between_any_white_space(found):
+    assert pii.mask(f"write to {found} now") == "write to <EMAIL> now"
