@@ -26,8 +26,8 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
-    return simhash.one_of_each(_documents(docs))
+    """One document of each near-duplicate group (3 bits, or five-word shingles alike by 0.8), the one with the smallest id."""
+    return simhash.one_of_each(_documents(docs), similarity=0.8)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

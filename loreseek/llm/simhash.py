@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loreseek.llm import nearcopies
 from loreseek.llm.common import Scratch, connected_components, pieces, unused
 
 RADIUS = 3
@@ -180,14 +181,15 @@ def links(fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame
     return paired.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(lambda b: compare_groups(b, radius), "u long, v long")
 
 
-def _components(docs: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+def _components(docs: DataFrame, radius: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of each row, and (fp, least, root) of each fingerprint: its smallest id and its component's name."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    each = scratch.table(fingerprints(docs), "fingerprints")
+    each = scratch.table(fingerprints(docs) if similarity is None else nearcopies.sketches(docs, fingerprint), "fingerprints")
     distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
     of = connected_components(links(distinct.select("fp"), radius), scratch)
     root = distinct.join(of, distinct.fp == of.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    return each, scratch.table(root, "roots")
+    roots = scratch.table(root, "roots")
+    return each, roots if similarity is None else nearcopies.join_alike(each, roots, similarity, scratch)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -198,9 +200,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return each.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each component of ``docs``, with all its columns: the one with the smallest id."""
-    each, root = _components(docs, radius)
+def one_of_each(docs: DataFrame, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
+    """One row of each component of ``docs``, with all its columns: the one with the smallest id.
+
+    With a similarity, texts whose five-word shingles are that much alike are linked too, whatever their fingerprints.
+    """
+    each, root = _components(docs, radius, similarity)
     least = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("m")  # null ids come last
     name, near, own = unused(docs, "_id", "_fp", "_own")
     kept = root.groupBy("root").agg(least).select(F.col("m.least").alias(name), F.col("m.fp").alias(near))
