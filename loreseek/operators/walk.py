@@ -2,30 +2,55 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loreseek.sources.shared import Scratch
+
 
-def reachable(edges: DataFrame, tips: DataFrame, limit: int = 10_000) -> DataFrame:
-    """(commit) reachable from ``tips`` (commit) over ``edges`` (child, parent).
+def reachable(edges: DataFrame, tips: DataFrame) -> DataFrame:
+    """(commit) reachable from ``tips`` (commit) over ``edges`` (child, parent[, ordinal]).
 
-    Each step joins only the frontier and drops what was found before, so a history full of merges costs
-    each edge once; a checkpoint a step keeps the lineage short.
+    One parent of each commit (that of the least ordinal, else the least) makes a forest, whose ancestor links are
+    doubled: link k leads 2**k commits back. A round takes all forest ancestors of what is new with one join
+    a link, then crosses to the other parents. So the number of steps follows the logarithm of the generations
+    and how deep branches are nested, and each commit is found once. Every step is a written table.
     """
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loreseek-walk-"))
-    frontier = tips.select("commit").distinct().checkpoint()
-    found = frontier
-    for _ in range(limit):
-        step = frontier.join(edges, F.col("commit") == F.col("child")).select(F.col("parent").alias("commit")).filter("commit is not null").distinct()
-        frontier = step.join(found, "commit", "left_anti").checkpoint()
-        if frontier.isEmpty():
+    scratch = Scratch(edges.sparkSession, "walk")
+    known = edges.filter("child is not null and parent is not null")
+    first = F.min(F.struct("ordinal", "parent")).getField("parent") if "ordinal" in edges.columns else F.min("parent")
+    forest = scratch.table(known.groupBy("child").agg(first.alias("up")), "link-0")
+    rest = known.join(forest, (known.child == forest.child) & (known.parent == forest.up), "left_anti").select("child", "parent").distinct()
+    rest = scratch.table(rest, "rest")
+    links, most = [forest], forest.count()
+    while 1 << len(links) <= most:
+        last = links[-1]
+        longer = last.select("child", F.col("up").alias("by")).join(last.select(F.col("child").alias("by"), "up"), "by").select("child", "up")
+        longer = scratch.table(longer, f"link-{len(links)}")
+        if longer.isEmpty():
+            break
+        links.append(longer)
+
+    def with_ancestors(commits: DataFrame) -> DataFrame:
+        for link in reversed(links):
+            both = commits.join(link, F.col("commit") == F.col("child"), "left").select(F.explode(F.array("commit", "up")).alias("commit"))
+            commits = both.filter("commit is not null").distinct()
+        return commits
+
+    step = 0
+    parts = [scratch.table(with_ancestors(tips.select("commit").filter("commit is not null").distinct()), "found-0")]
+    while True:
+        step += 1
+        found = reduce(DataFrame.union, parts)
+        across = parts[-1].join(rest, F.col("commit") == F.col("child")).select(F.col("parent").alias("commit")).distinct()
+        fresh = scratch.table(across.join(found, "commit", "left_anti"), f"across-{step}")
+        if fresh.isEmpty():
             return found
-        found = found.union(frontier).checkpoint()
-    raise ValueError(f"a history of more than {limit} generations")
+        parts.append(scratch.table(with_ancestors(fresh).join(found, "commit", "left_anti"), f"found-{step}"))
+        if len(parts) == 16:
+            parts = [scratch.table(reduce(DataFrame.union, parts[:-1]), f"merged-{step}"), parts[-1]]
 
 
 def commit_range(edges: DataFrame, ref: DataFrame, since: DataFrame) -> DataFrame:
@@ -36,9 +61,17 @@ def commit_range(edges: DataFrame, ref: DataFrame, since: DataFrame) -> DataFram
 def count_windows(rows: DataFrame, order: Column, n: int, within: list[str] | None = None) -> DataFrame:
     """``rows`` with window_no: each n rows, in order, make a window; the rest makes the last one.
 
-    ``within`` names columns whose groups are windowed one by one, in parallel.
+    ``within`` names columns whose groups are windowed one by one. Rows are ranged by group and order and written;
+    the sizes of a group's ranges give each range its first number, so a group of any size is numbered by many tasks.
     """
     if n < 1:
         raise ValueError(f"a window holds at least one row, not {n}")
-    window = Window.partitionBy(*(within or [])).orderBy(order)
-    return rows.withColumn("window_no", F.floor((F.row_number().over(window) - 1) / n))
+    groups = list(within or [])
+    ranged = rows.withColumn("_order", order).repartitionByRange(*groups, "_order").withColumn("_range", F.spark_partition_id())
+    ranged = Scratch(rows.sparkSession, "windows").table(ranged, "ranged")
+    sizes = ranged.groupBy(*groups, "_range").agg(F.count("*").alias("_many"))
+    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select(*(F.col(g).alias(f"_g{k}") for k, g in enumerate(groups)), F.col("_range").alias("_r"), F.coalesce(F.sum("_many").over(before), F.lit(0)).alias("_first"))
+    same = reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(f"_g{k}")) for k, g in enumerate(groups)), F.col("_range") == F.col("_r"))
+    number = F.row_number().over(Window.partitionBy(*groups, "_range").orderBy("_order")) - 1 + F.col("_first")
+    return ranged.join(firsts, same).withColumn("window_no", F.floor(number / n)).select(*rows.columns, "window_no")

@@ -1,6 +1,6 @@
 """Follows a history: new commits arrive as micro-batches and are indexed.
 
-The stream's offset is the tip that was read last, so its checkpoint is the
+The stream's offset names the heads of what was read, so its checkpoint is the
 resume cursor. Batches may come twice after a failure; all writes ignore keys
 that are there, so they count once.
 """
@@ -23,23 +23,24 @@ def commit_stream(spark: SparkSession, path: str, ref: str = "HEAD", since: str
 
 
 def follow(index: HistoryIndex, path: str, checkpoint: str, ref: str = "HEAD", *, blobs: bool = True, once: bool = True, max_commits: int | None = None, listener: Callable[[int, int], None] = lambda batch, commits: None) -> StreamingQuery:
-    """Starts the stream. once: take what there is and stop; otherwise look for new commits every ten seconds.
+    """Starts the stream. once: take what there is, batch by batch, and return when it has stopped; otherwise look for new commits every ten seconds.
 
-    blobs: index the contents that a batch made reachable, too.
+    blobs: index the contents that a batch's commits brought in, too. listener is told each batch's number and commits.
     """
 
     def take(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        try:
+        if blobs:
+            count = index.index_changes(batch, ref).commits
+        else:
             count = batch.count()
-            if count:
-                index.register_commits(batch)
-                if blobs:
-                    index.index(ref)
-            listener(number, count)
-        finally:
-            batch.unpersist()
+            index.register_commits(batch)
+        listener(number, count)
 
     writer = commit_stream(index.spark, path, ref, max_commits=max_commits).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
-    # Python sources with one reader don't end by themselves: the caller stops after processAllAvailable().
-    return writer.trigger(processingTime="0 seconds" if once else "10 seconds").start()
+    query = writer.trigger(processingTime="0 seconds" if once else "10 seconds").start()
+    if once:
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    return query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import subprocess
 from pathlib import Path
 
@@ -130,3 +131,66 @@ def test_changes_explode(spark, repo):
     repo.commit("1", {"a": "1", "b": "2"})
     rows = git.stream_commits(spark, str(repo.path)).select(F.explode("changed_blobs").alias("c")).select("c.path", "c.blob_hash")
     assert rows.count() == 2
+
+
+def random_history(repo, seed: int, many: int = 14) -> list[str]:
+    """Commits on several branches with merges, made without a work tree."""
+    rng = random.Random(seed)
+    tree = repo.run("mktree")
+    made: list[str] = []
+    for k in range(many):
+        parents = rng.sample(made[-5:], min(len(made), rng.choice([1, 1, 1, 2, 3]))) if made else []
+        made.append(repo.run("commit-tree", tree, "-m", f"c{k}", *(x for p in parents for x in ("-p", p))))
+    heads = [c for c in made if all(c not in repo.run("rev-list", d).split()[1:] for d in made)]
+    last = heads[0] if len(heads) == 1 else repo.run("commit-tree", tree, "-m", "all", *(x for h in heads for x in ("-p", h)))
+    repo.run("update-ref", "refs/heads/main", last)
+    return repo.run("rev-list", last).split()
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("most", [1, 2, 3, 5, 100])
+def test_batches_give_each_commit_of_merges_once(repo, seed, most):
+    wanted = random_history(repo, seed)
+    reader = git.GitBatches({"path": str(repo.path), "maxcommits": str(most)})
+    at, found = reader.initialOffset(), []
+    for _ in range(len(wanted) + 1):
+        rows, after = reader.read(at)
+        batch = [r[0] for r in rows]
+        assert len(batch) <= most and sorted(batch) == sorted(r[0] for r in reader.readBetweenOffsets(at, after))
+        if after == at:
+            break
+        found, at = found + batch, after
+    assert sorted(found) == sorted(wanted) and at == {"heads": wanted[0]}
+    assert git.GitStream({"path": str(repo.path)}).latestOffset() == at
+    # A resumed reader takes what came after.
+    tree = repo.run("mktree")
+    repo.run("update-ref", "refs/heads/main", repo.run("commit-tree", tree, "-m", "new", "-p", wanted[0]))
+    rows, _ = git.GitBatches({"path": str(repo.path), "maxcommits": str(most)}).read(at)
+    assert [r[4] for r in rows] == ["new"]
+
+
+def test_walks_are_dealt_to_tasks(spark, repo, monkeypatch):
+    for k in range(7):
+        repo.commit(f"{k}", {"f": f"{k}"})
+    monkeypatch.setattr(git, "PART", 3)
+    reader = git.GitReader({"path": str(repo.path)})
+    parts = [[r[4] for r in reader.read(p)] for p in reader.partitions()]
+    assert parts == [["6", "5", "4"], ["3", "2", "1"], ["0"]]
+    assert [r[4] for r in git.commits(str(repo.path))] == sum(parts, [])
+
+
+def test_odd_subjects(spark, repo):
+    repo.commit("a\x1eb\x1fc :", {"a": "1"})
+    repo.run("commit", "-q", "--allow-empty", "--allow-empty-message", "-m", "")
+    rows = git.stream_commits(spark, str(repo.path)).collect()
+    assert [r["message"] for r in rows] == ["", "a\x1eb\x1fc :"] and [len(r["changed_blobs"]) for r in rows] == [0, 1]
+
+
+def test_stream_with_batches_ends_at_the_tip(spark, repo, tmp_path):
+    from loreseek.streaming.follow import commit_stream
+
+    wanted, seen = random_history(repo, 3, 6), []
+    query = commit_stream(spark, str(repo.path), max_commits=2).writeStream.foreachBatch(lambda b, n: seen.extend(r["hash"] for r in b.collect())).option("checkpointLocation", f"{tmp_path}/c").start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(seen) == sorted(wanted)
