@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
-#: What endpoints say where an input is too long for the model.
+#: Fixed value: what endpoints say where an input is too long for the model.
 TOO_LONG = r"(?i)context|input length|too long|exceeds|maximum.*token|token.*limit"
 
 
@@ -48,5 +48,5 @@ def is_context_error(message: Column) -> Column:
 
 
 def result_line(rank: Column, score: Column, paths: Column, provenance: Column, blob_hash: Column) -> Column:
-    shown = F.when(paths == "", F.lit("(no path recorded)")).otherwise(paths)
-    return F.concat(F.lpad(rank.cast("string"), 2, " "), F.lit(". "), F.format_string("%.4f", score), F.lit("  "), shown, F.lit("  ["), F.lower(provenance), F.lit("]  "), F.substring(blob_hash, 1, 8))
+    """One tab-separated line: rank, score, kind of search, the first twelve digits of the hash, and the paths if there are any."""
+    return F.concat_ws("\t", rank.cast("string"), F.format_string("%.6f", score), F.lower(provenance), F.substring(blob_hash, 1, 12), F.when(paths != "", paths))

@@ -31,5 +31,5 @@ WHOLE_FILE = -1
 COMMITS = "hash string, timestamp long, author_name string, author_email string, message string, changed_blobs array<struct<path:string,blob_hash:string>>"
 BLOBS = "path string, blob_hash string, walk_order long"
 CHUNKS = "array<struct<content:string,start_line:int,end_line:int,strategy:string,symbol:string>>"
-MATCHES = "blob_hash string, paths array<string>, start_line int, end_line int, score double, provenance string, degraded boolean"
+MATCHES = "rank int, blob_hash string, paths array<string>, start_line int, end_line int, score double, provenance string, degraded boolean"
 EVAL_CASES = "query string, expected_paths array<string>"

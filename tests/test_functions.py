@@ -124,11 +124,11 @@ def test_tokens_and_phrases(spark):
 @pytest.mark.parametrize(("message", "wanted"), [("maximum context length", True), ("Input LENGTH", True), ("this exceeds it", True), ("the token count is over the limit", True), ("not found", False)])
 def test_context_errors(spark, message, wanted):
     assert one(spark, text.is_context_error(F.lit(message))) is wanted
-    assert isinstance(embedding.translate_error(400, message), embedding.ContextLengthExceeded) is wanted
+    assert isinstance(embedding.refusal(400, message), embedding.ContextLengthExceeded) is wanted
 
 
 def test_result_line(spark):
-    assert one(spark, text.result_line(F.lit(3), F.lit(0.123456), F.lit("a/b"), F.lit("HYBRID"), F.lit("0123456789"))) == " 3. 0.1235  a/b  [hybrid]  01234567"
+    assert one(spark, text.result_line(F.lit(3), F.lit(0.123456), F.lit("a/b"), F.lit("HYBRID"), F.lit("0123456789"))) == "3\t0.123456\thybrid\t0123456789\ta/b"
 
 
 # -- scores
@@ -191,14 +191,13 @@ def test_batches_and_isolation():
     provider = Counting(max_length=10)
     found = embedding.embed_all(provider, ["a", "bad", "b", "x" * 11, "c"], 5)
     assert [e for _, e in found] == [None, embedding.OTHER, None, embedding.CONTEXT, None]
-    assert found[2][0] == embedding.deterministic_vector("b", 8)
+    assert found[2][0] == embedding.digest_vector("b", 8)
     assert embedding.embed_all(provider, []) == []
 
 
 def test_deterministic_vectors():
-    a, b = embedding.deterministic_vector("alpha", 8), embedding.deterministic_vector("beta", 8)
-    assert a == embedding.deterministic_vector("alpha", 8) != b and np.linalg.norm(a) == pytest.approx(1, abs=1e-6)
-    assert f"{embedding.fnv1a('alpha'):016x}" == "5acb56cc7a626865"
+    a, b = embedding.digest_vector("alpha", 8), embedding.digest_vector("beta", 8)
+    assert a == embedding.digest_vector("alpha", 8) != b and np.linalg.norm(a) == pytest.approx(1, abs=1e-6)
 
 
 def test_embed_column_never_raises(spark):
