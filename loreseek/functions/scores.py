@@ -7,8 +7,9 @@ over-fetch limit, never as large as the index.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 BM25_WEIGHT = 0.3
@@ -27,6 +28,15 @@ def min_max(value: Column, pool: WindowSpec) -> Column:
     return F.when(value.isNull(), F.lit(None)).when(high == low, F.lit(0.5)).otherwise((value - low) / (high - low))
 
 
+def min_max_by(rows: DataFrame, value: str, pool: list[str], name: str) -> DataFrame:
+    """``rows`` with ``min_max`` of a column over pools of any size: limits are aggregated with map-side combine and joined, so no task holds a pool."""
+    limits = rows.groupBy(*(F.col(p).alias(f"_p{k}") for k, p in enumerate(pool))).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    same = reduce(lambda a, b: a & b, (F.col(p).eqNullSafe(F.col(f"_p{k}")) for k, p in enumerate(pool)))
+    at = F.col(value)
+    scaled = F.when(at.isNull(), F.lit(None)).when(F.col("_high") == F.col("_low"), F.lit(0.5)).otherwise((at - F.col("_low")) / (F.col("_high") - F.col("_low")))
+    return rows.join(limits, same).select(*rows.columns, scaled.alias(name))
+
+
 def blend(vector: Column, keyword: Column, weight: float = BM25_WEIGHT) -> Column:
     """Normalised scores of both legs; a missing side counts 0."""
     return F.lit(1 - weight) * F.coalesce(vector, F.lit(0.0)) + F.lit(weight) * F.coalesce(keyword, F.lit(0.0))

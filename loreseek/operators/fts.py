@@ -72,41 +72,44 @@ def build_for(docs: DataFrame, terms: list[str], stem: bool = True) -> tuple[Dat
 
 
 def phrase_terms(queries: DataFrame, stem: bool = True) -> DataFrame:
-    """(query_id, phrase_no, i, term, many) of ``queries`` (query_id, text): the terms of each phrase and their number."""
+    """(query_id, phrase_no, i, term, many, wanted) of ``queries`` (query_id, text): the terms of each phrase, their number, and that of the query's phrases."""
     phrases = queries.select("query_id", F.posexplode(query_phrases(F.col("text"))).alias("phrase_no", "phrase"))
     split = phrases.select("query_id", "phrase_no", tokens(F.col("phrase"), stem).alias("tokens"))
-    return split.select("query_id", "phrase_no", F.size("tokens").alias("many"), F.posexplode("tokens").alias("i", "term"))
+    each = split.select("query_id", "phrase_no", F.size("tokens").alias("many"), F.posexplode("tokens").alias("i", "term"))
+    return each.withColumn("wanted", F.size(F.collect_set("phrase_no").over(Window.partitionBy("query_id"))))
 
 
 def phrase_counts(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, phrase_no, blob_hash, tf): how often a document holds a phrase."""
+    """(query_id, phrase_no, wanted, blob_hash, tf): how often a document holds a phrase."""
     hits = postings.join(terms, "term")
     # The places at which a phrase would begin, for each of its terms; it is there where all agree.
     starts = F.transform("positions", lambda p: p - F.col("i"))
-    found = hits.groupBy("query_id", "phrase_no", "blob_hash", "many").agg(F.collect_list(starts).alias("starts")).filter(F.size("starts") == F.col("many"))
+    found = hits.groupBy("query_id", "phrase_no", "wanted", "blob_hash", "many").agg(F.collect_list(starts).alias("starts")).filter(F.size("starts") == F.col("many"))
     common = F.aggregate(F.slice("starts", 2, F.greatest(F.col("many"), F.lit(1))), F.col("starts")[0], lambda a, b: F.array_intersect(a, b))
-    return found.select("query_id", "phrase_no", "blob_hash", F.size(common).cast("long").alias("tf")).filter("tf > 0")
+    return found.select("query_id", "phrase_no", "wanted", "blob_hash", F.size(common).cast("long").alias("tf")).filter("tf > 0")
 
 
-def match(counts: DataFrame, terms: DataFrame) -> DataFrame:
+def match(counts: DataFrame) -> DataFrame:
     """(query_id, blob_hash) of documents with all phrases of a query."""
-    wanted = terms.groupBy("query_id").agg(F.countDistinct("phrase_no").alias("wanted"))
-    return counts.groupBy("query_id", "blob_hash").agg(F.count("*").alias("n")).join(wanted, "query_id").filter("n = wanted").select("query_id", "blob_hash")
+    return counts.groupBy("query_id", "wanted", "blob_hash").agg(F.count("*").alias("n")).filter("n = wanted").select("query_id", "blob_hash")
 
 
 def bm25(postings: DataFrame, lengths: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, blob_hash, bm25) of the matching documents."""
+    """(query_id, blob_hash, bm25) of the matching documents.
+
+    No join has a query as its key, which all matching documents would share, but for that with the phrases'
+    document counts: those are a row a phrase, as many as the caller's block of queries holds, and are broadcast.
+    """
     counts = phrase_counts(postings, terms)
     totals = lengths.agg(F.struct(F.count("*").alias("docs"), F.avg("dl").alias("mean")).alias("totals"))
-    spread = counts.groupBy("query_id", "phrase_no").agg(F.count("*").alias("n"))
-    wanted = terms.groupBy("query_id").agg(F.countDistinct("phrase_no").alias("wanted"))
+    spread = F.broadcast(counts.groupBy("query_id", "phrase_no").agg(F.count("*").alias("n")))
     idf = F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     weight = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
     # One row of totals; as a scalar subquery it joins nothing.
     scored = counts.join(spread, ["query_id", "phrase_no"]).join(lengths, "blob_hash").withColumn("totals", totals.scalar()).select("*", "totals.docs", "totals.mean")
     part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    summed = scored.groupBy("query_id", "blob_hash").agg((-F.sum(part)).alias("bm25"), F.count("*").alias("n"))
-    return summed.join(wanted, "query_id").filter("n = wanted").select("query_id", "blob_hash", "bm25")
+    summed = scored.groupBy("query_id", "wanted", "blob_hash").agg((-F.sum(part)).alias("bm25"), F.count("*").alias("n"))
+    return summed.filter("n = wanted").select("query_id", "blob_hash", "bm25")
 
 
 def best(scored: DataFrame, limit: int, score: str = "bm25", descending: bool = False) -> DataFrame:

@@ -51,6 +51,18 @@ def most_recent(rows: DataFrame, what: str, by: str) -> DataFrame:
     return rows.agg(F.max_by(what, by).alias(what))
 
 
+def entry_for(rows: DataFrame, **keys) -> DataFrame:
+    """The rows of one key, null keys included; the comparisons are pushed to the scan."""
+    for name, value in keys.items():
+        rows = rows.filter(F.col(name).isNull() if value is None else F.col(name) == value)
+    return rows
+
+
+def last_by_insert(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """(key) of the row that was inserted last: one aggregate with map-side combine, no sort."""
+    return rows.agg(F.max_by(key, F.struct(*order)).alias(key))
+
+
 def count_for_model(vectors: DataFrame) -> DataFrame:
     """(model, blobs): distinct blobs, not rows."""
     return vectors.groupBy("model").agg(F.countDistinct("blob_hash").alias("blobs"))

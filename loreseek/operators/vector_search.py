@@ -14,12 +14,20 @@ from loreseek.functions.vectors import cosine_quantized, literal
 BLOCK = 256  # queries that a scan answers at once
 
 
+def sound(vectors: DataFrame, dimensions: int) -> DataFrame:
+    """Without records that can't be compared with a query of so many dimensions: a wrong length, a null, or limits that are no numbers."""
+    whole = (F.size("q_data") == dimensions) & ~F.exists("q_data", lambda x: x.isNull())
+    return vectors.filter(whole & (F.abs("q_min") < float("inf")) & (F.abs("q_scale") < float("inf")))
+
+
 def search(vectors: DataFrame, query: Sequence[float] | Column, top_k: int, candidates: DataFrame | None = None) -> DataFrame:
     """(blob_hash, score) of the ``top_k`` best blobs of ``vectors`` (blob_hash, q_min, q_scale, q_data).
 
     candidates (blob_hash) are filtered before scoring. The maximum combines map-side, and order with limit
     keeps top_k rows a task.
     """
+    if not isinstance(query, Column):
+        vectors = sound(vectors, len(query))
     if candidates is not None:
         vectors = vectors.join(candidates, "blob_hash", "left_semi")
     asked = query if isinstance(query, Column) else literal(query)
@@ -31,12 +39,14 @@ def search(vectors: DataFrame, query: Sequence[float] | Column, top_k: int, cand
 def search_many(vectors: DataFrame, queries: list[tuple[int, Sequence[float]]], top_k: int, candidates: DataFrame | None = None) -> DataFrame:
     """(query_id, blob_hash, score) of the best blobs of each query.
 
-    Queries go in blocks of fixed size; a task reduces its vectors to top_k blobs a query with matrix
-    products over Arrow batches, so what is shuffled doesn't grow with the vectors. A blob that is among
+    Queries go in blocks of fixed size; a task reduces its vectors to top_k blobs a query, by products of an
+    Arrow batch with one query after the other (in the index's single precision), so what is shuffled doesn't grow with the vectors. A blob that is among
     the best of all is among the best of the task that holds its best chunk.
     """
     from loreseek.operators.fts import best
 
+    if queries:
+        vectors = sound(vectors, len(queries[0][1]))
     if candidates is not None:
         vectors = vectors.join(candidates, "blob_hash", "left_semi")
     source = vectors.select("blob_hash", "q_min", "q_scale", "q_data")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +22,20 @@ from loreseek.functions.scores import BM25_WEIGHT, Weights
 from loreseek.functions.vectors import quantize
 from loreseek.operators import evaluation, fts, vector_search
 from loreseek.operators.fallback import embed_with_fallback
-from loreseek.operators.relational import filter_new, on_branch
+from loreseek.operators.relational import entry_for, filter_new, last_by_insert, on_branch
 from loreseek.plans import search as plans
 from loreseek.schemas import MATCHES
 from loreseek.sources import git
+from loreseek.sources.shared import Scratch, remove
 from loreseek.sources.store import Store
 
 MAX_BLOB_BYTES = 200 * 1024
+CASES = 1_000  # queries that one plan answers
+WINDOW = 100_000  # new contents that are fetched, embedded and written at a time
+
+
+class Cancelled(Exception):
+    """The run was stopped between two windows; what they wrote stays, the cursor is as it was."""
 
 
 class Repository(Protocol):
@@ -115,9 +126,9 @@ class HistoryIndex:
     from the old cursor. Cursors belong to a ref and a model.
     """
 
-    def __init__(self, spark: SparkSession, path: str, provider: Provider, repository: Repository | None = None, *, chunker: Chunker | None = None, concurrency: int = 4, batch_size: int = 1, max_blob_bytes: int = MAX_BLOB_BYTES, weights: Weights = Weights(), bm25_weight: float = BM25_WEIGHT, over_fetch: int = plans.OVER_FETCH, least_fetch: int = plans.LEAST_FETCH, clock: Callable[[], int] = lambda: int(time.time())) -> None:
+    def __init__(self, spark: SparkSession, path: str, provider: Provider, repository: Repository | None = None, *, chunker: Chunker | None = None, concurrency: int = 4, batch_size: int = 1, max_blob_bytes: int = MAX_BLOB_BYTES, window: int = WINDOW, weights: Weights = Weights(), bm25_weight: float = BM25_WEIGHT, over_fetch: int = plans.OVER_FETCH, least_fetch: int = plans.LEAST_FETCH, clock: Callable[[], int] = lambda: int(time.time())) -> None:
         self.spark, self.store, self.provider, self.repository = spark, Store(spark, path), provider, repository
-        self.chunker, self.concurrency, self.batch_size, self.max_blob_bytes = chunker, concurrency, batch_size, max_blob_bytes
+        self.chunker, self.concurrency, self.batch_size, self.max_blob_bytes, self.window = chunker, concurrency, batch_size, max_blob_bytes, window
         self.weights, self.bm25_weight, self.over, self.least, self.clock = weights, bm25_weight, over_fetch, least_fetch, clock
 
     # -- indexing
@@ -135,38 +146,89 @@ class HistoryIndex:
         self.store.insert_or_ignore("path_entry", changed)
         self.store.insert_or_ignore("indexed_commit_entry", commits.select(F.col("hash").alias("commit_hash"), now.alias("indexed_at")))
 
-    def index(self, ref: str = "HEAD", since: str | None = None, progress: Callable[[str, int], None] = lambda what, n: None) -> IndexResult:
+    def index(self, ref: str = "HEAD", since: str | None = None, progress: Callable[[str, int], None] = lambda what, n: None, cancelled: Callable[[], bool] = lambda: False) -> IndexResult:
+        """Indexes what ``ref`` reaches and the cursor, or ``since``, does not.
+
+        progress is told the commits once, then after each window how many contents were embedded so far. cancelled is
+        asked before each window; True ends the run with ``Cancelled``.
+        """
         if self.repository is None:
             raise ValueError("this index has no repository to walk")
-        spark, store = self.spark, self.store
-        config = store.read("embed_config_entry").filter(F.col("model") == self.provider.model).first()
-        if config and config["dimensions"] != self.provider.dimensions:
-            raise ValueError(f"model '{self.provider.model}' is indexed with {config['dimensions']} dimensions, not {self.provider.dimensions}")
-        seq = store.next_seq()
-        row = (self.provider.model, type(self.provider).__name__, self.provider.dimensions, "file", self.clock())
-        store.replace("embed_config_entry", spark.createDataFrame([row], "model string, provider string, dimensions int, chunker string, last_used_at long"), seq)
         since = since or self.cursor(ref)
-
-        stage = f"{store.path}/_stage/{uuid.uuid4().hex}"
+        with self._stage() as keep:
+            self._check(cancelled)
+            commits = keep(self.repository.commits(self.spark, ref, since).withColumn("walk", F.monotonically_increasing_id()), "commits")
+            count, tip = commits.agg(F.count("*"), F.min_by("hash", "walk")).first()
+            self.register_commits(commits)
+            progress("commits", count)
+            self._check(cancelled)
+            seq, tallies = self._index_entries(keep(self.repository.blobs(self.spark, ref, since), "blobs"), ref, keep, progress, cancelled)
+            if count:
+                cursor = self.spark.createDataFrame([(ref, self.provider.model, tip, self.clock())], "ref string, model string, commit_hash string, updated_at long")
+                self.store.replace("resume_cursor", cursor, seq)
+        return IndexResult(count, *tallies)
+
+    def index_changes(self, commits: DataFrame, ref: str) -> IndexResult:
+        """Registers ``commits`` and indexes the contents that they brought in; the cursor stays, as a stream has its own."""
+        with self._stage() as keep:
+            commits = keep(commits, "commits")
+            count = commits.count()
+            self.register_commits(commits)
+            changed = commits.select(F.posexplode("changed_blobs").alias("walk_order", "c")).select("c.path", "c.blob_hash", F.col("walk_order").cast("long").alias("walk_order"))
+            _, tallies = self._index_entries(keep(changed, "blobs"), ref, keep)
+        return IndexResult(count, *tallies)
+
+    @contextmanager
+    def _stage(self) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+        """A function that writes a frame under a name and reads it back; the tables go with the run, however it ends."""
+        stage = f"{self.store.path}/_stage/{uuid.uuid4().hex}"
 
         def keep(df: DataFrame, name: str) -> DataFrame:
             schema = df.schema
             df.write.parquet(f"{stage}/{name}")
-            return spark.read.schema(schema).parquet(f"{stage}/{name}")
-
-        commits = keep(self.repository.commits(spark, ref, since).withColumn("walk", F.monotonically_increasing_id()), "commits")
-        count, tip = commits.agg(F.count("*"), F.min_by("hash", "walk")).first()
-        self.register_commits(commits)
-        progress("commits", count)
-
-        entries = keep(self.repository.blobs(spark, ref, since), "blobs")
+            return self.spark.read.schema(schema).parquet(f"{stage}/{name}")
+
+        try:
+            yield keep
+        finally:
+            remove(self.spark, stage)
+
+    @staticmethod
+    def _check(cancelled: Callable[[], bool]) -> None:
+        if cancelled():
+            raise Cancelled
+
+    def _index_entries(self, entries: DataFrame, ref: str, keep: Callable[[DataFrame, str], DataFrame], progress: Callable[[str, int], None] = lambda what, n: None, cancelled: Callable[[], bool] = lambda: False) -> tuple[int, tuple[int, ...]]:
+        """The number of the run's versions, and (seen, indexed, skipped, failed, oversized), of written ``entries`` (path, blob_hash, walk_order)."""
+        store, model = self.store, self.provider.model
+        config = store.read("embed_config_entry").filter(F.col("model") == model).first()
+        if config and config["dimensions"] != self.provider.dimensions:
+            raise ValueError(f"model '{model}' is indexed with {config['dimensions']} dimensions, not {self.provider.dimensions}")
+        seq = store.next_seq()
+        row = (model, type(self.provider).__name__, self.provider.dimensions, "file", self.clock())
+        store.replace("embed_config_entry", self.spark.createDataFrame([row], "model string, provider string, dimensions int, chunker string, last_used_at long"), seq)
         seen = entries.count()
         store.insert_or_ignore("blob_branch_entry", entries.select("blob_hash", F.lit(ref).alias("branch")))
-        present = store.raw("vector_entry").filter(F.col("model") == self.provider.model)
+        present = store.raw("vector_entry").filter(F.col("model") == model)
         one_path = entries.groupBy("blob_hash").agg(F.max_by("path", "walk_order").alias("path"))
-        fresh = keep(self.repository.with_content(filter_new(one_path, present, "blob_hash"), self.max_blob_bytes), "fresh")
-        wanted, oversized = fresh.agg(F.count("*"), F.count_if(F.col("content").isNull())).first()
-        texts = fresh.filter("content is not null")
+        fresh = keep(filter_new(one_path, present, "blob_hash"), "fresh")
+        wanted = fresh.count()
+        windows = math.ceil(wanted / self.window)
+        indexed = failed = oversized = 0
+        for k in range(windows):
+            self._check(cancelled)
+            part = fresh.filter(F.pmod(F.xxhash64("blob_hash"), F.lit(windows)) == k)
+            done = self._index_window(part, seq, lambda df, name, k=k: keep(df, f"{name}-{k}"))
+            indexed, failed, oversized = (a + b for a, b in zip((indexed, failed, oversized), done, strict=True))
+            progress("blobs", indexed)
+        return seq, (seen, indexed, seen - wanted, failed, oversized)
+
+    def _index_window(self, entries: DataFrame, seq: int, keep: Callable[[DataFrame, str], DataFrame]) -> tuple[int, int, int]:
+        """Fetches, embeds and writes the contents of ``entries`` (blob_hash, path): how many were indexed, failed, and were too large."""
+        store = self.store
+        fetched = keep(self.repository.with_content(entries, self.max_blob_bytes), "fetched")
+        oversized = fetched.filter("content is null").count()
+        texts = fetched.filter("content is not null")
         vectors, failed = embed_with_fallback(texts.select("blob_hash", "content"), self.provider, keep, self.batch_size, self.concurrency, self.chunker)
         done = keep(vectors.select("blob_hash", "chunk_index", F.lit(self.provider.model).alias("model"), quantize(F.col("vector")).alias("q")), "vectors")
         good = texts.join(done.select("blob_hash").distinct(), "blob_hash", "left_semi")
@@ -175,13 +237,7 @@ class HistoryIndex:
         self.index_texts(good.select("blob_hash", "content"), seq)
         store.insert_or_ignore("blob_entry", good.select("blob_hash", utf16_length(F.col("content")).cast("long").alias("size"), F.lit(self.clock()).cast("long").alias("indexed_at")))
         store.insert_or_ignore("vector_entry", done.select("blob_hash", "model", "chunk_index", "q.q_min", "q.q_scale", "q.q_data"))
-        progress("blobs", indexed)
-        if count:
-            cursor = spark.createDataFrame([(ref, self.provider.model, tip, self.clock())], "ref string, model string, commit_hash string, updated_at long")
-            store.replace("resume_cursor", cursor, seq)
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        return IndexResult(count, seen, indexed, seen - wanted, missed, oversized)
+        return indexed, missed, oversized
 
     def index_texts(self, docs: DataFrame, seq: int | None = None) -> None:
         """Adds texts (blob_hash, content) to the keyword index, replacing those that are there."""
@@ -209,7 +265,7 @@ class HistoryIndex:
 
     def search(self, query: Query) -> SearchResult:
         matches, coverage, degraded = self.search_many([query.text], query.top_k, query.branch)
-        return SearchResult(matches.drop("query_id", "rank").select(*[x.split()[0] for x in MATCHES.split(", ")]), coverage, degraded)
+        return SearchResult(matches.select(*[x.split()[0] for x in MATCHES.split(", ")]), coverage, degraded)
 
     def search_many(self, texts: list[str], top_k: int = 10, branch: str | None = None) -> tuple[DataFrame, Coverage, bool]:
         """Matches of all texts in one plan (query_id, rank, ...), the coverage, and whether vectors were missing.
@@ -230,6 +286,19 @@ class HistoryIndex:
         found = plans.hybrid(queries, vector_hits, self.keyword_hits(queries, texts, limit), paths, self.store.raw("blob_commit_entry"), self.store.raw("commit_entry"), top_k, members, self.weights, self.bm25_weight)
         return found, coverage, False
 
+    def vector_entry(self, blob_hash: str) -> DataFrame:
+        """The chunks' vectors of one content, for this model."""
+        return entry_for(self.store.raw("vector_entry"), model=self.provider.model, blob_hash=blob_hash)
+
+    def content(self, blob_hash: str) -> str | None:
+        """The text that the keyword index holds for a content, in its latest version."""
+        row = last_by_insert(entry_for(self.store.raw("blob_content"), blob_hash=blob_hash), "content", "_seq").first()
+        return row and row["content"]
+
+    def last_inserted_commit(self) -> str | None:
+        """The commit that was registered last, ties by hash."""
+        return last_by_insert(self.store.raw("indexed_commit_entry"), "commit_hash", "indexed_at", "commit_hash").first()[0]
+
     def status(self) -> Status:
         """Coverage, the cursor of the ref that was indexed last, and the model's settings."""
         last = self.store.read("resume_cursor").agg(F.max_by("commit_hash", "updated_at")).first()[0]
@@ -237,14 +306,21 @@ class HistoryIndex:
         return Status(self.coverage(), last, config and config["model"], config and config["dimensions"])
 
     def evaluate(self, cases: DataFrame, k: int = 10) -> EvalReport:
-        """Metrics of ``cases`` (query, expected_paths): all cases are searched in one plan."""
+        """Metrics of ``cases`` (query, expected_paths); a block of ``CASES`` is searched in one plan."""
         if k < 1:
             raise ValueError(f"k must be at least 1, not {k}")
-        rows = cases.collect()  # a hand-made list of queries, which the driver embeds
-        numbered = self.spark.createDataFrame([(n, r["expected_paths"]) for n, r in enumerate(rows)], "case_id long, expected_paths array<string>")
-        if not rows:
-            return EvalReport(k, evaluation.case_metrics(numbered, self.spark.createDataFrame([], "case_id long, rank int, paths array<string>")), 0, 0.0, 0.0, 0.0, Coverage(0, 0), False)
-        found, coverage, degraded = self.search_many([r["query"] for r in rows], k)
-        metrics = evaluation.case_metrics(numbered, found.select(F.col("query_id").alias("case_id"), "rank", "paths"))
+        scratch = Scratch(self.spark, "evaluation")
+        rest, parts, coverage, degraded = cases.toLocalIterator(), [], Coverage(0, 0), False
+        while block := list(islice(rest, CASES)):  # the driver embeds and holds one block of queries at a time
+            first = len(parts) * CASES
+            numbered = self.spark.createDataFrame([(first + n, r["expected_paths"]) for n, r in enumerate(block)], "case_id long, expected_paths array<string>")
+            found, coverage, missing = self.search_many([r["query"] for r in block], k)
+            degraded |= missing
+            metrics = evaluation.case_metrics(numbered, found.select((F.col("query_id") + first).alias("case_id"), "rank", "paths"))
+            parts.append(scratch.table(metrics, str(len(parts))))
+        if not parts:
+            none = [self.spark.createDataFrame([], shape) for shape in ("case_id long, expected_paths array<string>", "case_id long, rank int, paths array<string>")]
+            return EvalReport(k, evaluation.case_metrics(*none), 0, 0.0, 0.0, 0.0, coverage, degraded)
+        metrics = reduce(DataFrame.union, parts)
         total = evaluation.report(metrics).first()
         return EvalReport(k, metrics, total["cases"], total["precision"], total["recall"], total["mrr"], coverage, degraded)

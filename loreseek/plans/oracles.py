@@ -161,6 +161,9 @@ ORACLES: dict[str, str] = {
     "most_recent_ref": "SELECT user_id AS ref FROM events ORDER BY ts DESC, event_id DESC LIMIT 1",
     "counts": f"WITH {_BLOBS} SELECT count(DISTINCT blob_hash) AS blobs, count(*) AS entries, (SELECT count(*) FROM orders) AS commits FROM b",
     "count_for_model": "SELECT label AS model, count(DISTINCT vec_id // 4) AS blobs FROM embeddings GROUP BY 1",
+    "vector_entry_for": f"WITH {_QUANTISED} SELECT vec_id, label, array_to_string(data, ',') AS q_data FROM q WHERE vec_id = 7",
+    "content_for": f"WITH {_BLOBS} SELECT DISTINCT blob_hash, content FROM b WHERE blob_hash = (SELECT blob_hash FROM b WHERE doc_id = 0)",
+    "last_commit_by_insert": "SELECT o_orderkey AS commit_hash FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1",
     "oversized_tally": "SELECT count(*) FILTER (strlen(text) > 20000) AS oversized, count(*) FILTER (strlen(text) <= 20000) AS fitting FROM documents",
     "index_tally": f"WITH {_BLOBS}, {_INDEXED}, {_NEW}, x AS (SELECT count(*) AS new, count(*) FILTER (strlen(content) > 20000) AS oversized FROM fresh) SELECT (SELECT count(*) FROM b) AS seen, (SELECT count(*) FROM b) - new AS skipped, new - oversized AS indexed, oversized FROM x",
     "git_blob_ids": "SELECT doc_id, sha1(encode('blob ' || strlen(text)) || '\\x00'::BLOB || encode(text)) AS object_id FROM documents",
@@ -202,7 +205,7 @@ SELECT query_id, id, round(0.7::DOUBLE * coalesce(v, 0) + 0.3::DOUBLE * coalesce
     "search_hybrid_branch": _hybrid("blob_hash IN (SELECT blob_hash FROM b WHERE branch = 'src1')"),
     "search_fts_only": _fts_only(10),
     "search_fts_only_branch": _fts_only(50, "blob_hash IN (SELECT blob_hash FROM b WHERE branch = 'src1')"),
-    "result_lines": f"SELECT rank, lpad(CAST(rank AS VARCHAR), 2, ' ') || '. ' || printf('%.4f', score) || '  ' || replace(paths, '|', ', ') || '  [fts]  ' || substr(blob_hash, 1, 8) AS line FROM ({_fts_only(10)})",
+    "result_lines": f"SELECT rank, concat_ws(chr(9), rank, printf('%.6f', score), 'fts', substr(blob_hash, 1, 12), replace(paths, '|', ', ')) AS line FROM ({_fts_only(10)})",
     "coverage": f"WITH {_BLOBS}, {_COVERAGE} SELECT * FROM cov",
     "status": f"WITH {_BLOBS}, {_COVERAGE} SELECT *, (SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1) AS last_indexed, (SELECT CAST(max(len(embedding)) AS INTEGER) FROM embeddings) AS dimensions FROM cov",
     # evaluation

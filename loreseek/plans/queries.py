@@ -21,6 +21,7 @@ from loreseek.operators import evaluation, fts, relational, vector_search, walk
 from loreseek.operators.fallback import embed_with_fallback
 from loreseek.plans import search
 from loreseek.session import spread
+from loreseek.sources.shared import Scratch
 
 WORDS, PHRASE = "the and that", "of-the and"
 MODEL_K, CAP = 10, 20_000
@@ -136,6 +137,24 @@ def counts(spark, d):
     return blobs.withColumn("commits", _read(spark, d, "orders").agg(F.count("*")).scalar())
 
 
+def vector_entry_for(spark, d):
+    """One vector by its key."""
+    row = relational.entry_for(_read(spark, d, "embeddings").select("vec_id", "label", "embedding"), vec_id=7)
+    q = row.select("vec_id", "label", quantize(F.col("embedding")).alias("q"))
+    return q.select("vec_id", "label", F.array_join(F.col("q.q_data").cast("array<string>"), ",").alias("q_data"))
+
+
+def content_for(spark, d):
+    """One text by its hash, which is that of document 0 and may be held by several."""
+    wanted = _read(spark, d, "documents").filter("doc_id = 0").select(F.sha1("text")).scalar()
+    return _blobs(spark, d).filter(F.col("blob_hash") == wanted).select("blob_hash", "content").distinct()
+
+
+def last_commit_by_insert(spark, d):
+    """The commit that was inserted last: the order of the latest date, ties by key."""
+    return relational.last_by_insert(_commits(spark, d), "commit_hash", "timestamp", "commit_hash")
+
+
 def count_for_model(spark, d):
     return relational.count_for_model(_read(spark, d, "embeddings").select(F.col("label").alias("model"), F.floor(F.col("vec_id") / 4).alias("blob_hash")))
 
@@ -186,13 +205,7 @@ def fixed_chunks_800(spark, d):
 
 def fallback_chain(spark, d):
     """How each content gets its vectors, with a model that takes 1,600 characters."""
-    kept: dict[str, DataFrame] = {}
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        kept[name] = df.persist()
-        return kept[name]
-
-    vectors, failed = embed_with_fallback(_contents(spark, d), DeterministicProvider(max_length=1600), keep, concurrency=spark.sparkContext.defaultParallelism)
+    vectors, failed = embed_with_fallback(_contents(spark, d), DeterministicProvider(max_length=1600), Scratch(spark, "fallback").table, concurrency=spark.sparkContext.defaultParallelism)
     done = vectors.groupBy("blob_hash").agg(F.when(F.min("chunk_index") < 0, F.lit(0)).otherwise(F.count("*")).cast("long").alias("chunks"), F.lit(True).alias("embedded"))
     return done.union(failed.select("blob_hash", F.lit(0).cast("long").alias("chunks"), F.lit(False).alias("embedded")))
 
@@ -251,7 +264,7 @@ def _keyword(spark, d, query, stem=False):
 
 def fts_match(spark, d):
     postings, _, terms = _keyword(spark, d, WORDS)
-    return fts.match(fts.phrase_counts(postings, terms), terms).select("blob_hash")
+    return fts.match(fts.phrase_counts(postings, terms)).select("blob_hash")
 
 
 def fts_bm25_nostem(spark, d):
@@ -275,18 +288,16 @@ def fts_vocabulary(spark, d):
 
 
 def minmax_norm(spark, d):
-    pool = Window.partitionBy("source")
-    docs = _read(spark, d, "documents")
-    return docs.select("doc_id", F.round(scores.min_max(F.col("n_chars").cast("double"), pool), 6).alias("score"))
+    docs = _read(spark, d, "documents").select("doc_id", "source", F.col("n_chars").cast("double").alias("value"))
+    return _scored(scores.min_max_by(docs, "value", ["source"], "score").select("doc_id", "score"))
 
 
 def hybrid_blend(spark, d):
     """Both legs of sixteen queries; ids on one side only count 0 on the other."""
-    pool = Window.partitionBy("query_id")
     v = _read(spark, d, "embeddings").select(F.pmod("vec_id", F.lit(16)).alias("query_id"), F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("s"))
     b = _read(spark, d, "documents").select(F.pmod("doc_id", F.lit(16)).alias("query_id"), F.col("doc_id").alias("id"), (-F.col("n_chars").cast("double")).alias("bm25"))
-    v = v.select("query_id", "id", scores.min_max(F.col("s"), pool).alias("v"))
-    b = b.select("query_id", "id", scores.min_max(-F.col("bm25"), pool).alias("b"))
+    v = scores.min_max_by(v, "s", ["query_id"], "v").drop("s")
+    b = scores.min_max_by(b.select("query_id", "id", (-F.col("bm25")).alias("t")), "t", ["query_id"], "b").drop("t")
     return v.join(b, ["query_id", "id"], "full_outer").select("query_id", "id", F.round(scores.blend(F.col("v"), F.col("b")), 6).alias("score"))
 
 
@@ -308,27 +319,28 @@ def three_signal(spark, d):
 # -- whole searches
 
 
-def _model(spark, d):
+def _registry(spark, d):
+    """doc_id, blob_hash, path, branch of each document: texts are hashed once, what a search looks up is narrow."""
+    return Scratch(spark, "registry").table(spread(_blobs(spark, d)).drop("content"), "blobs")
+
+
+def _model(spark, d, registry=None):
     """Vectors of the contents whose document has an embedding."""
     v = _vectors(spark, d)
-    return _blobs(spark, d).join(v, F.col("doc_id") == F.col("vec_id")).select("blob_hash", "q.q_min", "q.q_scale", "q.q_data")
+    entries = _blobs(spark, d) if registry is None else registry
+    return entries.join(v, F.col("doc_id") == F.col("vec_id")).select("blob_hash", "q.q_min", "q.q_scale", "q.q_data")
 
 
-def _legs(spark, d, branch=None):
+def _search(spark, d, branch=None):
+    entries = _registry(spark, d)
     limit = search.over_fetch(MODEL_K)
-    members = None if branch is None else relational.on_branch(_blobs(spark, d), branch)
-    hits = vector_search.search(_model(spark, d), _asked(spark, d), limit, members).select(F.lit(0).cast("long").alias("query_id"), "blob_hash", "score")
+    members = None if branch is None else relational.on_branch(entries, branch)
+    hits = vector_search.search(_model(spark, d, entries), _asked(spark, d), limit, members).select(F.lit(0).cast("long").alias("query_id"), "blob_hash", "score")
     keyword = fts.best(fts.bm25(*_keyword(spark, d, WORDS)), limit)
-    return hits, keyword, members
-
-
-def _search(spark, d, branch=None):
-    hits, keyword, members = _legs(spark, d, branch)
     queries = spark.createDataFrame([(0, WORDS + " src1")], "query_id long, text string")
-    doc = _blobs(spark, d)
     links = _read(spark, d, "lineitem").select(F.col("l_partkey").alias("doc_id"), F.col("l_orderkey").alias("commit_hash"))
-    links = links.join(doc.select("doc_id", "blob_hash"), "doc_id").select("blob_hash", "commit_hash")
-    found = search.hybrid(queries, hits, keyword, doc.select("blob_hash", "path"), links, _commits(spark, d), MODEL_K, members)
+    links = links.join(entries.select("doc_id", "blob_hash"), "doc_id").select("blob_hash", "commit_hash")
+    found = search.hybrid(queries, hits, keyword, entries.select("blob_hash", "path"), links, _commits(spark, d), MODEL_K, members)
     return _shown(found)
 
 
@@ -417,7 +429,7 @@ def commit_changes(spark, d):
 
 _ALL = (
     blob_registry, paths_for_blob, branches_for, blobs_on_branch, blob_exists_semi, filter_new_blobs_anti, insert_or_ignore, first_seen, blob_commit_links, embed_config_latest,
-    most_recent_ref, counts, count_for_model, oversized_tally, index_tally, git_blob_ids, latest_path_in_window, file_chunk_spans, fixed_chunks_1500, fixed_chunks_800, fallback_chain,
+    most_recent_ref, counts, count_for_model, vector_entry_for, content_for, last_commit_by_insert, oversized_tally, index_tally, git_blob_ids, latest_path_in_window, file_chunk_spans, fixed_chunks_1500, fixed_chunks_800, fallback_chain,
     quantized, dequantize_error, vector_topk, vector_topk_branch, vector_topk_chunks, path_relevance, quoted_queries, context_errors, fts_match, fts_bm25_nostem, fts_phrase, fts_porter,
     fts_vocabulary, minmax_norm, hybrid_blend, recency, three_signal, search_hybrid, search_hybrid_branch, search_fts_only, search_fts_only_branch, result_lines, coverage, status,
     eval_cases, eval_report, eval_coverage, commit_range_walk, commit_changes,

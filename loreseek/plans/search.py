@@ -1,8 +1,8 @@
 """Hybrid search: vector leg and keyword leg in one plan, then blend and ranking of what they found.
 
-Each leg leaves at most an over-fetch of rows a query. These candidates are held by
-the driver, as the queries are, so that paths and commits are looked up without
-running the legs again.
+Each leg leaves at most an over-fetch of rows a query. These candidates are written
+as a small table, so that paths and commits are looked up without running the legs
+again; its size on disk, which the planner knows, decides whether it is broadcast.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from loreseek.functions.scores import BM25_WEIGHT, Weights, blend, min_max, rece
 from loreseek.functions.text import best_path_relevance
 from loreseek.operators import fts
 from loreseek.operators.relational import first_seen, paths_for
+from loreseek.sources.shared import Scratch
 
 OVER_FETCH, LEAST_FETCH = 3, 50
 
@@ -29,13 +30,13 @@ def over_fetch(top_k: int, multiplier: int = OVER_FETCH, least: int = LEAST_FETC
 
 
 def _of(rows: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Rows of the candidates. There are at most two over-fetches a query, which is what the broadcast is bound by."""
-    return rows.join(F.broadcast(candidates), "blob_hash", "left_semi")
+    """Rows of the candidates."""
+    return rows.join(candidates.select("blob_hash").distinct(), "blob_hash", "left_semi")
 
 
-def _held(rows: DataFrame) -> DataFrame:
+def _written(rows: DataFrame, name: str) -> DataFrame:
     """Rows that a fetch limit for each query bounds, computed once."""
-    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+    return Scratch(rows.sparkSession, "search").table(rows, name)
 
 
 def keyword_only(fts_hits: DataFrame, path_entry: DataFrame, top_k: int, branch: DataFrame | None = None) -> DataFrame:
@@ -43,8 +44,8 @@ def keyword_only(fts_hits: DataFrame, path_entry: DataFrame, top_k: int, branch:
     if branch is not None:
         fts_hits = fts_hits.join(branch, "blob_hash", "left_semi")
     scored = fts_hits.select("query_id", "blob_hash", min_max(-F.col("bm25"), _pool()).alias("score"))
-    kept = _held(fts.best(scored, top_k, "score", descending=True))
-    paths = paths_for(_of(path_entry, kept.select("blob_hash").distinct()))
+    kept = _written(fts.best(scored, top_k, "score", descending=True), "kept")
+    paths = paths_for(_of(path_entry, kept))
     return _matches(kept.join(paths, "blob_hash", "left"), "FTS", True)
 
 
@@ -59,11 +60,10 @@ def hybrid(queries: DataFrame, vector_hits: DataFrame, fts_hits: DataFrame, path
     vector = vector_hits.select("query_id", "blob_hash", min_max(F.col("score"), _pool()).alias("v"))
     keyword = fts_hits.select("query_id", "blob_hash", min_max(-F.col("bm25"), _pool()).alias("b"))
     pool = vector.join(keyword, ["query_id", "blob_hash"], "full_outer").select("query_id", "blob_hash", blend(F.col("v"), F.col("b"), bm25_weight).alias("blended"))
-    pool = _held(pool)
-    candidates = pool.select("blob_hash").distinct()
-    paths = paths_for(_of(path_entry, candidates))
-    seen = first_seen(_of(blob_commit, candidates), commits)
-    full = pool.join(F.broadcast(queries.select("query_id", "text")), "query_id").join(paths, "blob_hash", "left").join(seen, "blob_hash", "left")
+    pool = _written(pool, "pool")
+    paths = paths_for(_of(path_entry, pool))
+    seen = first_seen(_of(blob_commit, pool), commits)
+    full = pool.join(queries.select("query_id", "text"), "query_id").join(paths, "blob_hash", "left").join(seen, "blob_hash", "left")
     signals = full.select("query_id", "blob_hash", "paths", "blended", recency(F.col("first_seen"), _pool()).alias("recent"), best_path_relevance(F.col("text"), F.col("paths")).alias("relevance"))
     scored = signals.select("query_id", "blob_hash", "paths", three_signal(F.col("blended"), F.col("recent"), F.col("relevance"), weights).alias("score"))
     return _matches(fts.best(scored, top_k, "score", descending=True), "HYBRID", False)

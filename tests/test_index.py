@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loreseek.functions.embedding import DeterministicProvider, EmbeddingProtocolError, OfflineProvider
 from loreseek.operators import evaluation, relational, vector_search, walk
-from loreseek.plans.index import Coverage, GitRepository, HistoryIndex, Query
+from loreseek.plans.index import Cancelled, Coverage, GitRepository, HistoryIndex, Query
 from loreseek.plans.search import over_fetch
 from loreseek.schemas import COMMITS
 from loreseek.sources.cases import read_cases
@@ -74,6 +74,19 @@ def test_tallies_and_tables(spark, path):
     assert index.coverage() == Coverage(3, 3) and index.coverage().complete
 
 
+def test_progress_by_window_and_cancellation(spark, path):
+    steps = []
+    index = make(spark, path, window=1)
+    with pytest.raises(Cancelled):
+        index.index(progress=lambda what, n: steps.append((what, n)), cancelled=lambda: len(steps) == 2)
+    assert len(steps) == 2 and index.cursor("HEAD") is None and index.coverage().embedded < 3
+    assert not index.store.exists("_stage")
+    r = index.index(progress=lambda what, n: steps.append((what, n)))
+    assert index.cursor("HEAD") == "c2" and index.coverage() == Coverage(3, 3) and r.indexed + steps[1][1] == 3 and r.failed == 0
+    with pytest.raises(Cancelled):
+        make(spark, f"{path}-none").index(cancelled=lambda: True)
+
+
 def test_resume_takes_new_commits_only(spark, path):
     table = history()
     index = make(spark, path, table)
@@ -200,6 +213,22 @@ def test_vectors_one_hit_a_blob_and_ties_by_hash(spark):
     assert [tuple(r) for r in vector_search.search(v, [1.0, 0.0], 2, only).collect()] == [("z", 0.0)]
 
 
+def test_records_that_cannot_be_compared_are_passed_over(spark):
+    rows = [("short", 0.0, 1.0, [1]), ("long", 0.0, 1.0, [1, 2, 3]), ("null", 0.0, 1.0, None), ("hole", 0.0, 1.0, [1, None]), ("nan", float("nan"), 1.0, [1, 2]), ("good", 0.0, 1.0, [-127, -128])]
+    v = spark.createDataFrame(rows, "blob_hash string, q_min float, q_scale float, q_data array<tinyint>").coalesce(1)
+    assert [tuple(r) for r in vector_search.search(v, [1.0, 0.0], 9).collect()] == [("good", 1.0)]
+    assert [tuple(r) for r in vector_search.search_many(v, [(1, [1.0, 0.0])], 9).collect()] == [(1, "good", 1.0)]
+
+
+def test_lookups(spark, path):
+    index = make(spark, path)
+    index.index()
+    text = "project readme text"
+    assert index.vector_entry(blob(text)).count() == 1 and index.vector_entry("absent").count() == 0
+    assert index.content(blob(text)) == text and index.content("absent") is None
+    assert index.last_inserted_commit() == "c2"
+
+
 def test_first_seen(spark):
     links = spark.createDataFrame([("b", "c1"), ("b", "c2"), ("x", "gone")], "blob_hash string, commit_hash string")
     commits = spark.createDataFrame([("c1", 900), ("c2", 500)], "commit_hash string, timestamp long")
@@ -225,6 +254,16 @@ def test_walk_of_merges(spark):
     assert {r[0] for r in walk.commit_range(df, tip, since).collect()} == {"a0", *(f"{x}{k}" for x in "ab" for k in range(1, 6)), "b6", "a6"} - {"b6"}
 
 
+def test_walk_of_a_long_chain_with_side_branches(spark):
+    """50,000 commits in a row, each hundredth with a side branch that leaves one commit and comes back at another."""
+    n = 50_000
+    chain = spark.range(1, n).selectExpr("cast(id as string) child", "cast(id - 1 as string) parent")
+    side = spark.range(100, n, 100).selectExpr("explode(array(struct(cast(id as string) child, concat('s', id) parent), struct(concat('s', id) child, cast(id - 7 as string) parent))) x").select("x.*")
+    tip = spark.createDataFrame([(str(n - 1),)], "commit string")
+    assert walk.reachable(chain.union(side), tip).count() == n + n // 100 - 1
+    assert walk.commit_range(chain.union(side), tip, spark.createDataFrame([("49900",)], "commit string")).count() == 99
+
+
 def test_over_fetch():
     assert over_fetch(10) == 50 and over_fetch(100) == 300
 
@@ -234,11 +273,12 @@ def test_real_repository_and_stream(spark, tmp_path, path):
     repo.commit("1", {"a.txt": "alpha words", "b.txt": "beta words"})
     index = make(spark, path, GitRepository(str(repo.path)))
     assert index.index().indexed == 2
-    query = follow(make(spark, f"{path}-followed", GitRepository(str(repo.path))), str(repo.path), f"{tmp_path}/checkpoint")
-    query.processAllAvailable()
-    repo.commit("2", {"c.txt": "gamma words"})
-    query.processAllAvailable()
-    query.stop()
+    batches = []
+    for _ in range(2):
+        query = follow(make(spark, f"{path}-followed", GitRepository(str(repo.path))), str(repo.path), f"{tmp_path}/checkpoint", listener=lambda n, commits: batches.append(commits))
+        assert not query.isActive
+        repo.commit("2", {"c.txt": "gamma words"})
+    assert batches == [1, 1]
     followed = make(spark, f"{path}-followed", GitRepository(str(repo.path)))
     assert followed.coverage() == Coverage(3, 3) and Store(spark, f"{path}-followed").read("commit_entry").count() == 2
     found = followed.search(Query("gamma words", 1)).matches.collect()
