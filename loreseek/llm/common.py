@@ -1,9 +1,7 @@
-"""Shared folder, scratch tables and Arrow helpers of the training-data operators."""
+"""Arrow helpers, joins of hot keys and connected components for the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,48 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loreseek.sources.shared import Scratch
+
 #: A character of a word: anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_local_shared: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where unset (tests)."""
-    global _local_shared
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if _local_shared is None:
-        _local_shared = "file://" + tempfile.mkdtemp(prefix="loreseek-shared-")
-    return _local_shared
-
-
-class Scratch:
-    """A folder of written tables below the shared folder.
-
-    Written tables cut lineage: after the write, a lost executor costs no
-    recomputation. ``drop`` removes a table that no later step reads.
-    """
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        schema = df.schema
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        return self.read(name, schema)
-
-    def read(self, name: str, schema=None) -> DataFrame:
-        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
-        return reader.parquet(f"{self.path}/{name}")
-
-    def drop(self, name: str = "") -> None:
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def unused(docs: DataFrame, *names: str) -> list[str]:
     """Names for added columns that no column of ``docs`` has."""
     taken, out = {c.lower() for c in docs.columns}, []
@@ -93,27 +54,46 @@ def pieces(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text")
             start = end
 
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+#: Rows of one key that a join may bring to one task.
+HOT = 100_000
+
+
+def join_hot(rows: DataFrame, one: DataFrame, key: str, hot: int = HOT) -> DataFrame:
+    """``rows`` (a written table) joined with ``one`` (a written table with a row and the number ``n`` of rows a key).
+
+    The rows of a key with more than ``hot`` of them meet a broadcast row and stay where they are: of such keys
+    there are at most rows / hot. The others are shuffled as usual.
+    """
+    often = one.filter(F.col("n") > hot).drop("n")
+    if often.isEmpty():
+        return rows.join(one.drop("n"), key)
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(one.filter(F.col("n") <= hot).drop("n"), key)
+    return rows.join(F.broadcast(often), key).unionByName(rest)
+
+
+def connected_components(edges: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
     """(node, root) of every node of ``edges`` (u long, v long); root is the smallest node reachable.
 
     Alternating large-star and small-star contraction: each round is two
-    aggregations with map-side combine and two equi-joins, so no task gathers
-    a component, and neither the driver nor a broadcast ever holds links.
-    Rounds grow with the logarithm of the longest chain.
+    aggregations with map-side combine and two joins, in which the links of a
+    node that has very many stay in their tasks (``join_hot``), so no task
+    gathers a component, and the driver holds no links. Rounds grow with the
+    logarithm of the longest chain.
     """
     now = scratch.table(_ordered(edges), "edges-0")
     before, rounds = None, 0
     while True:
-        both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = _ordered(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         rounds += 1
+        both = scratch.table(now.union(now.select("v", "u")), f"both-{rounds}")
+        low = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), f"low-{rounds}")
+        large = join_hot(both.filter("v > u"), low, "u", hot).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = scratch.table(_ordered(large), f"large-{rounds}")
+        least = scratch.table(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), f"least-{rounds}")
+        small = join_hot(large, least, "u", hot)
+        after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         now = scratch.table(_ordered(after), f"edges-{rounds}")
-        scratch.drop(f"edges-{rounds - 1}")
+        for old in (f"edges-{rounds - 1}", f"both-{rounds}", f"low-{rounds}", f"large-{rounds}", f"least-{rounds}"):
+            scratch.drop(old)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             break

@@ -28,7 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loreseek.llm.common import WORD, Scratch, unused
+from loreseek.llm.common import WORD, unused
+from loreseek.sources.shared import Scratch
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5

@@ -6,10 +6,14 @@ million, and texts that share a passage only rarely share one. Pairs that share
 a key and are not yet in one component are compared on their whole sets of
 shingles (32-bit hashes), so no link rests on an estimate.
 
-A key's texts are first compared with one of them, which joins large groups of
-copies; what is still apart is compared with the ``AHEAD`` texts before it under
-the key, in an order that differs from key to key. Up to ``AHEAD`` + 1 texts
-those are all pairs; the work stays in proportion for any size.
+Under each key a text is drawn as its pivot, the same for keys that hold the same
+texts where possible, and each text is compared with one pivot of another
+component: a row a text and round, whatever the size of a group. After ``STARS``
+rounds groups of copies are one component but for a few texts. What is still
+apart under a key is then compared whole, every pair of different components:
+a key's texts are dealt to parts of ``PART``, and those outside the key's largest
+component go to all of its parts. A part emits a link for each pair of
+components, never pairs of texts.
 """
 
 from __future__ import annotations
@@ -22,11 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreseek.llm.common import Scratch, connected_components, pieces
+from loreseek.llm.common import connected_components, pieces
+from loreseek.sources.shared import Scratch
 
 WORDS = 5
 BANDS, ROWS = 32, 5
-AHEAD = 31
+STARS = 3
+PART = 1024
 _FACTORS = np.random.default_rng(42).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -79,34 +85,51 @@ def sketches(docs: DataFrame, fingerprint) -> DataFrame:
     return made.withColumn("rid", F.monotonically_increasing_id())
 
 
-def _ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, x, y) of each row and the ``AHEAD`` before it with its key; rows: key, rid, root, n, sorted by key."""
-    held = np.zeros((0, 4), np.int64)
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): the roots x and y of the pairs (a, b, x, y) whose sets of shingles are alike; b names a pair, a may be that of many."""
+    own = pairs.join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("t")), "b")
+    both = own.join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("s")), "a").filter(F.least(F.size("s"), F.size("t")) >= similarity * F.greatest(F.size("s"), F.size("t")) - 1e-9)
+    common = both.select("x", "y", (F.size("s") + F.size("t")).alias("n"), F.size(F.array_intersect("s", "t")).alias("c"))
+    return common.filter(F.col("c") >= similarity * (F.col("n") - F.col("c")) - 1e-9).select(F.col("x").alias("u"), F.col("y").alias("v"))
+
+
+def _compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(u, v): components with alike texts, from rows (key, part, pivot, root, shingles) sorted by key and part.
+
+    Within a part each pivot meets all other texts at once: places of the pivot's hashes in the texts laid end to end are counted.
+    """
+
+    def close(rows: list[tuple]) -> list[tuple[int, int]]:
+        members = [(root, s) for pivot, root, s in rows if not pivot]
+        if not members:
+            return []
+        roots = np.array([root for root, _ in members])
+        sizes = np.array([len(s) for _, s in members])
+        flat, starts = np.concatenate([s for _, s in members]), np.r_[0, np.cumsum(sizes)[:-1]]
+        found: set[tuple[int, int]] = set()
+        for root, s in ((root, s) for pivot, root, s in rows if pivot):
+            near = (roots != root) & (np.minimum(sizes, len(s)) >= similarity * np.maximum(sizes, len(s)) - 1e-9)
+            if near.any():
+                common = np.add.reduceat(np.isin(flat, s), starts)
+                alike = near & (common >= similarity * (sizes + len(s) - common) - 1e-9)
+                found |= {(int(root), int(r)) for r in np.unique(roots[alike])}
+        return sorted(found)
+
+    def made(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    held, at = [], None
     for batch in batches:
-        rows = np.concatenate([held, np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)], axis=1)])
-        out = []
-        for step in range(1, min(AHEAD, len(rows) - 1) + 1):
-            p, q = rows[:-step], rows[step:]
-            at = np.flatnonzero((p[:, 0] == q[:, 0]) & (p[:, 2] != q[:, 2]))
-            out.append(np.stack([p[at, 1], q[at, 1], p[at, 2], q[at, 2]], axis=1))
-        held = rows[-AHEAD:]
-        if out and len(found := np.concatenate(out)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, k])) for k in range(4)], names=["a", "b", "x", "y"])
-
-
-def _alike(pairs: DataFrame, each: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): the roots x and y of the pairs (a, b, x, y) whose sets of shingles are alike."""
-    swap = F.col("a") > F.col("b")
-    pairs = pairs.select(*(F.when(swap, F.col(q)).otherwise(F.col(p)).alias(name) for p, q, name in (("a", "b", "a"), ("b", "a", "b"), ("x", "y", "x"), ("y", "x", "y")))).distinct()
-    size = each.select("rid", "n")
-    fit = (
-        pairs.join(size.toDF("a", "n"), "a").join(size.toDF("b", "m"), "b")
-        .filter(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)
-    )
-    sets = each.select("rid", "shingles")
-    both = fit.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
-    common = both.select("x", "y", "n", "m", F.size(F.array_intersect("s", "t")).alias("c"))
-    return common.filter(F.col("c") >= similarity * (F.col("n") + F.col("m") - F.col("c")) - 1e-9).select(F.col("x").alias("u"), F.col("y").alias("v"))
+        key, part, pivot, root = (batch.column(k).to_pylist() for k in range(4))
+        sets = batch.column(4)
+        for k in range(batch.num_rows):
+            if (key[k], part[k]) != at:
+                if held and (links := close(held)):
+                    yield made(links)
+                held, at = [], (key[k], part[k])
+            held.append((pivot[k], root[k], sets[k].values.to_numpy()))
+    if held and (links := close(held)):
+        yield made(links)
 
 
 def _joined(roots: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -115,25 +138,34 @@ def _joined(roots: DataFrame, links: DataFrame, scratch: Scratch, name: str) ->
     return scratch.table(after.select("fp", "least", F.coalesce("next", "root").alias("root")), name)
 
 
-def join_alike(each: DataFrame, roots: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+def join_alike(each: DataFrame, roots: DataFrame, similarity: float, scratch: Scratch, stars: int = STARS, part: int = PART) -> DataFrame:
     """``roots`` (fp, least, root) with the components joined that hold alike texts of ``each`` (written ``sketches``)."""
-    one = each.groupBy("digest").agg(F.min("rid").alias("rid")).select("rid")
-    bands = scratch.table(each.select("rid", "fp", "n", "keys").join(one, "rid", "left_semi").select("rid", "fp", "n", F.explode("keys").alias("key")), "bands")
-
-    def apart(roots: DataFrame, name: str) -> DataFrame:
-        """The rows of keys that hold texts of several components."""
-        now = bands.join(roots.select("fp", "root"), "fp")
-        several = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("rid", "root")).alias("first")).filter("lo < hi").select("key", "first")
-        return scratch.table(now.join(several, "key").select("key", "rid", "root", F.col("n").cast("long").alias("n"), "first"), name)
-
-    rows = apart(roots, "apart-0")
-    stars = rows.filter("root <> first.root").select(F.col("first.rid").alias("a"), F.col("rid").alias("b"), F.col("first.root").alias("x"), F.col("root").alias("y"))
-    roots = _joined(roots, _alike(stars, each, similarity), scratch, "starred")
-    scratch.drop("apart-0")
-    rows = apart(roots, "apart-1")
-    ordered = rows.select("key", "rid", "root", "n").repartition("key").sortWithinPartitions("key", F.xxhash64("rid", "key"))
-    pairs = ordered.mapInArrow(_ahead, "a long, b long, x long, y long")
-    roots = _joined(roots, _alike(pairs, each, similarity), scratch, "joined")
-    scratch.drop("apart-1")
-    scratch.drop("bands")
+    one = scratch.table(each.groupBy("digest").agg(F.min("rid").alias("rid")).select("rid"), "one")
+    bands = scratch.table(each.select("rid", "fp", "keys").join(one, "rid", "left_semi").select("rid", "fp", F.explode("keys").alias("key")), "bands")
+    sets = each.select("rid", "shingles")
+
+    def apart(k: int) -> DataFrame:
+        """(key, rid, root, and the pivot's) of the rows of keys that hold texts of several components."""
+        now = bands.join(roots.select("fp", "root"), "fp").select("key", "rid", "root")
+        drawn = F.min(F.struct(F.xxhash64("rid", F.lit(k)).alias("order"), "rid", "root")).alias("pivot")
+        several = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), drawn).filter("lo < hi").select("key", "pivot")
+        return scratch.table(now.join(several, "key"), f"apart-{k}")
+
+    for k in range(stars):
+        others = apart(k).filter("root <> pivot.root")
+        pairs = others.groupBy("rid").agg(F.min("pivot").alias("pivot"), F.first("root").alias("root"))
+        pairs = pairs.select(F.col("pivot.rid").alias("a"), F.col("rid").alias("b"), F.col("pivot.root").alias("x"), F.col("root").alias("y"))
+        roots = _joined(roots, _alike(scratch.table(pairs, f"pairs-{k}"), sets, similarity), scratch, f"starred-{k}")
+        scratch.drop(f"apart-{k}")
+    rows = apart(stars)
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.ceil(F.sum("n") / part).cast("int").alias("parts"))
+    rows = rows.select("key", "rid", "root").join(scratch.table(sizes, "sizes"), "key")
+    own = F.array(F.struct(F.pmod(F.xxhash64("rid", "key"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("pivot")))
+    every = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.lit(True).alias("pivot")))
+    dealt = rows.select("key", "rid", "root", F.explode(F.when(F.col("root") == F.col("main"), own).otherwise(F.concat(own, every))).alias("d"))
+    dealt = dealt.join(sets, "rid").select("key", "d.part", "d.pivot", "root", "shingles")
+    links = dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(lambda b: _compared(b, similarity), "u long, v long")
+    roots = _joined(roots, links, scratch, "joined")
+    for name in (f"apart-{stars}", "bands"):
+        scratch.drop(name)
     return roots

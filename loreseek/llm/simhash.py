@@ -2,17 +2,19 @@
 
 Fingerprints are computed in one pass over the texts. Only distinct
 fingerprints are compared, so exact copies never meet. Two fingerprints that
-differ in at most ``RADIUS`` = 3 of 64 bits agree in full on two of five bit
-blocks (pigeonhole), so each distinct fingerprint is dealt under the ten pairs
-of blocks, and a key's fingerprints are compared exactly: tile against tile by
-numpy exclusive-or and bit counts, tile pairs whose population counts lie more
-than the radius apart being skipped. A tile pair emits a spanning forest of its
-links, never all pairs; connected components follow by distributed star
-contraction.
-
-Keys with more than ``SPLIT`` fingerprints are salted: they are cut into parts
-by hash, and each pair of parts is a group of its own, so that no task holds an
-unbounded group and no link is lost.
+differ in at most ``RADIUS`` = 3 of 64 bits agree in full on one of four 16-bit
+blocks (pigeonhole), so each distinct fingerprint is dealt under its four
+blocks. A key's fingerprints are sorted by population count and cut into tiles;
+tile is compared with tile by numpy exclusive-or and bit counts, and pairs of
+tiles whose population counts lie further apart than the radius are skipped.
+Small keys share a tile. A tile pair emits a spanning forest of its links, never
+all pairs; connected components follow by distributed star contraction.
+
+Keys with more than ``SPLIT`` fingerprints are dealt anew under four blocks of
+12 of the other bits (the same principle), and what is still larger is cut into
+parts by hash, each pair of parts being a group of its own: no task holds an
+unbounded group and no link is lost. The lists of such keys have at most four,
+or sixteen, rows for each ``SPLIT`` fingerprints.
 
 Defined results: a null or wordless text has fingerprint zero and links like any
 other; rows with a null id keep their fingerprint and get the smallest id of
@@ -23,22 +25,21 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loreseek.llm import nearcopies
-from loreseek.llm.common import Scratch, connected_components, pieces, unused
+from loreseek.llm.common import connected_components, pieces, unused
+from loreseek.sources.shared import Scratch
 
 RADIUS = 3
-TILE = 1024
+TILE = 512
 SPLIT = 16384
-_BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit, width
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
@@ -75,10 +76,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _keys(fp):
-    """The ten keys of a fingerprint: number of the block pair, then the blocks' bits."""
-    part = [F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)) for at, width in _BLOCKS]
-    return F.array(*[F.lit(n << 32).bitwiseOR(F.shiftleft(part[i], 13)).bitwiseOR(part[j]) for n, (i, j) in enumerate(combinations(range(5), 2))])
+def _keys(fp: Column) -> Column:
+    """The four keys of a fingerprint: the block's number, then its bits."""
+    return F.array(*[F.lit(n << 32).bitwiseOR(F.shiftrightunsigned(fp, 16 * n).bitwiseAND(F.lit(0xFFFF))) for n in range(4)])
+
+
+def _finer(fp: Column, key: Column) -> Column:
+    """The four keys below a key: the key, the number of a 12-bit block of the other 48 bits, and its bits."""
+    at = F.shiftright(key, 32).cast("int") * 16  # first bit of the key's block
+    low = fp.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), at) - 1)
+    high = F.when(at == 48, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.call_function("shiftrightunsigned", fp, at + 16), at))
+    rest = low.bitwiseOR(high)
+    named = F.lit(1 << 40).bitwiseOR(F.shiftleft(key, 16))  # above all coarse keys
+    return F.array(*[named.bitwiseOR(F.lit(n << 12)).bitwiseOR(F.shiftrightunsigned(rest, 12 * n).bitwiseAND(F.lit(0xFFF))) for n in range(4)])
 
 
 def _forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,49 +117,51 @@ def _forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarra
     return both[moved], both[label[moved]]
 
 
-def _tiles(fps: np.ndarray, side: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The links of one group. side: 0 and 1 mark the two parts of a salted pair, which meet each other only."""
-    ones = np.bitwise_count(fps)
+def _sorted(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ones = np.bitwise_count(fps).astype(np.int64)
     order = np.argsort(ones, kind="stable")
-    fps, ones, side = fps[order], ones[order].astype(np.int64), side[order]
-    parts = [fps] if not side.any() else [fps[side == 0], fps[side == 1]]
-    counts = [ones] if len(parts) == 1 else [ones[side == 0], ones[side == 1]]
-    first, last = parts[0], parts[-1]
-    for i in range(0, len(first), TILE):
-        for j in range(i if len(parts) == 1 else 0, len(last), TILE):
-            p, q = counts[0][i : i + TILE], counts[-1][j : j + TILE]
-            if q[0] - p[-1] > radius or p[0] - q[-1] > radius:
+    return fps[order], ones[order]
+
+
+def _tiles(first: np.ndarray, last: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The links within one group (last None), or between the two parts of a salted pair."""
+    a, p = _sorted(first)
+    b, q = (a, p) if last is None else _sorted(last)
+    for i in range(0, len(a), TILE):
+        for j in range(i if last is None else 0, len(b), TILE):
+            if q[j] - p[min(i + TILE, len(a)) - 1] > radius or p[i] - q[min(j + TILE, len(b)) - 1] > radius:
                 continue
-            same = len(parts) == 1 and i == j
-            yield _forest(first[i : i + TILE], None if same else last[j : j + TILE], radius)
+            yield _forest(a[i : i + TILE], None if last is None and i == j else b[j : j + TILE], radius)
 
 
 def compare_groups(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links (u, v) within the groups of rows sorted by (key, a, b): fp, side."""
+    """Links (u, v) within the groups of rows sorted by (key, a, b): fp, side (1: the second part of a salted pair)."""
     held: list[np.ndarray] = []
 
     def close(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         """rows: key, a, b, fp, side of whole groups."""
         if len(rows) < 2:
             return
-        change = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
-        starts, ends = np.r_[0, change], np.r_[change, len(rows)]
-        many = ends - starts
+        cut = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
+        starts, ends = np.r_[0, cut], np.r_[cut, len(rows)]
+        keep = np.flatnonzero(ends - starts > 1)
         fps, side = rows[:, 3].copy().view(np.uint64), rows[:, 4]
-        out = []
-        group = np.repeat(np.arange(len(starts)), many)
-        few = many[group] <= 8
-        for step in range(1, 8):  # small groups all at once: each row against the next ones of its group
-            if len(rows) <= step:
-                break
-            pair = (group[:-step] == group[step:]) & few[:-step] & ((side[:-step] != side[step:]) | (rows[:-step, 1] == rows[:-step, 2]))
-            at = np.flatnonzero(pair)
-            near = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= radius]
-            out.append((fps[near], fps[near + step]))
-        for k in np.flatnonzero(many > 8):
-            out += _tiles(fps[starts[k] : ends[k]], side[starts[k] : ends[k]], radius)
-        u, v = np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
-        if len(u):
+        out, shared, many = [], [], 0
+        for s, e in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True):
+            if side[s] != side[e - 1] or rows[s, 1] != rows[s, 2]:  # rows of a group are sorted by side
+                out += _tiles(fps[s:e][side[s:e] == 0], fps[s:e][side[s:e] == 1], radius)
+            elif e - s > TILE // 2:
+                out += _tiles(fps[s:e], None, radius)
+            else:
+                if many + e - s > TILE:
+                    out.append(_forest(np.concatenate(shared), None, radius))
+                    shared, many = [], 0
+                shared.append(fps[s:e])
+                many += e - s
+        if shared:
+            out.append(_forest(np.concatenate(shared), None, radius))
+        if out and len(u := np.concatenate([x for x, _ in out])):
+            v = np.concatenate([x for _, x in out])
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     for batch in batches:
@@ -166,26 +178,38 @@ def compare_groups(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[p
 
 
 def links(fps: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
-    """(u, v): links that span the components of the distinct fingerprints ``fps`` (fp long)."""
+    """(u, v): links that span the components of the distinct fingerprints ``fps`` (fp long), a written table."""
     if not 0 <= radius <= RADIUS:
-        raise ValueError("five blocks in pairs are exact up to a radius of 3")
+        raise ValueError("four blocks are exact up to a radius of 3")
+    scratch = Scratch(fps.sparkSession, "links")
+
+    def crowded(dealt: DataFrame, name: str) -> DataFrame:
+        return scratch.table(dealt.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > split), name)
+
     dealt = fps.select("fp", F.explode(_keys(F.col("fp"))).alias("key"))
-    hot = dealt.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > split).select("key", F.ceil(F.col("n") / split).cast("int").alias("parts"))
-    parts = F.coalesce(F.col("parts"), F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    paired = (
-        dealt.join(hot, "key", "left")
-        .select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-        .select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", (F.col("own") > F.col("other")).cast("int").alias("side"))
-    )
-    return paired.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(lambda b: compare_groups(b, radius), "u long, v long")
+    hot = crowded(dealt, "crowded")
+    alone = F.lit(0)
+    if hot.isEmpty():
+        groups = dealt.select("key", alone.alias("a"), alone.alias("b"), "fp", alone.alias("side"))
+    else:
+        hot = F.broadcast(hot.select("key"))
+        fine = dealt.join(hot, "key").select("fp", F.explode(_finer(F.col("fp"), F.col("key"))).alias("key"))
+        parts = F.coalesce(F.col("parts"), F.lit(1))
+        own = F.pmod(F.xxhash64("fp"), parts).cast("int")
+        paired = (
+            fine.join(F.broadcast(crowded(fine, "crowded-finer").select("key", F.ceil(F.col("n") / split).cast("int").alias("parts"))), "key", "left")
+            .select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+            .select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", (F.col("own") > F.col("other")).cast("int").alias("side"))
+        )
+        groups = dealt.join(hot, "key", "left_anti").select("key", alone.alias("a"), alone.alias("b"), "fp", alone.alias("side")).union(paired)
+    return groups.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "side").mapInArrow(lambda b: compare_groups(b, radius), "u long, v long")
 
 
 def _components(docs: DataFrame, radius: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of each row, and (fp, least, root) of each fingerprint: its smallest id and its component's name."""
     scratch = Scratch(docs.sparkSession, "simhash")
     each = scratch.table(fingerprints(docs) if similarity is None else nearcopies.sketches(docs, fingerprint), "fingerprints")
-    distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = scratch.table(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     of = connected_components(links(distinct.select("fp"), radius), scratch)
     root = distinct.join(of, distinct.fp == of.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     roots = scratch.table(root, "roots")

@@ -49,7 +49,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loreseek.llm.common import Scratch, pieces, text_bytes
+from loreseek.llm.common import pieces, text_bytes
+from loreseek.sources.shared import Scratch
 
 WIDTH = 100
 GRAM = 32

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import corpus_pipeline
 import pytest
 from loreseek.llm import nearcopies, simhash
@@ -41,7 +43,9 @@ def changed() -> list[str]:
     return out
 
 
-def test_stage_drops_all_alike_texts(spark, make_docs):
+@pytest.mark.parametrize("limits", [{}, {"stars": 0, "part": 3}, {"stars": 1, "part": 5}])
+def test_stage_drops_all_alike_texts(spark, make_docs, monkeypatch, limits):
+    monkeypatch.setattr(nearcopies, "join_alike", functools.partial(nearcopies.join_alike, **limits))
     texts = changed()
     label = linked(texts)
     assert len(set(label)) < len(set(groups([naive(t) for t in texts], 3)))  # 3 bits alone leave some

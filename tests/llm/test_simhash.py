@@ -9,7 +9,8 @@ import pytest
 import xxhash
 
 from loreseek.llm import simhash
-from loreseek.llm.common import Scratch, connected_components
+from loreseek.llm.common import connected_components
+from loreseek.sources.shared import Scratch
 from tests.llm.conftest import edge_rows, prose
 
 
@@ -74,17 +75,17 @@ def crowd(n: int, seed: int) -> list[int]:
     return sorted(out)
 
 
-@pytest.mark.parametrize(("split", "tile"), [(16384, 1024), (40, 1024), (40, 16), (7, 5)])
+@pytest.mark.parametrize(("split", "tile"), [(16384, 512), (40, 512), (7, 512), (40, 16), (7, 5)])
 def test_links_of_crowded_keys(spark, monkeypatch, split, tile):
     """Salted parts and tiles lose no link."""
     monkeypatch.setattr(simhash, "TILE", tile)
     fps = crowd(500, 5)
     signed = [fp - (1 << 64) if fp >> 63 else fp for fp in fps]
     links = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 3, split)
-    if tile == 1024:  # executors import the module anew
+    if tile == 512:  # executors import the module anew
         pairs = [(r["u"], r["v"]) for r in links.collect()]
     else:
-        tiles = simhash._tiles(np.array(fps, np.uint64), np.zeros(500, np.int64), 3)
+        tiles = simhash._tiles(np.array(fps, np.uint64), None, 3)
         pairs = [x for us, vs in tiles for x in zip(us.view(np.int64).tolist(), vs.view(np.int64).tolist(), strict=True)]
     parent = {x: x for x in signed}
 
@@ -106,9 +107,31 @@ def test_tile_pairs_emit_no_more_than_a_forest():
     assert len(u) == len(v) == 59
 
 
-def test_connected_components(spark):
+def test_distant_tiles_are_skipped(monkeypatch):
+    compared = []
+    whole = simhash._forest
+    monkeypatch.setattr(simhash, "TILE", 4)
+    monkeypatch.setattr(simhash, "_forest", lambda a, b, radius: compared.append(1) or whole(a, b, radius))
+    fps = np.array([(1 << (2 * k)) - 1 for k in range(32)], np.uint64)  # population counts 0, 2, 4, ...
+    found = {x for u, v in simhash._tiles(fps, None, 3) for x in zip(u.tolist(), v.tolist(), strict=True)}
+    assert len(compared) == 15 < 36 and len(found) == 31
+
+
+def test_finer_keys_hold_the_other_bits(spark):
+    fps = crowd(40, 3)
+    signed = [fp - (1 << 64) if fp >> 63 else fp for fp in fps]
+    rows = spark.createDataFrame([(x,) for x in signed], "fp long").select("fp", simhash.F.explode(simhash._keys(simhash.F.col("fp"))).alias("key"))
+    for r in rows.select("fp", "key", simhash._finer(simhash.F.col("fp"), simhash.F.col("key")).alias("finer")).collect():
+        n, fp = r["key"] >> 32, r["fp"] % (1 << 64)
+        rest = fp & ((1 << 16 * n) - 1) | fp >> 16 * (n + 1) << 16 * n
+        assert r["key"] & 0xFFFF == fp >> 16 * n & 0xFFFF
+        assert [x & 0xFFF for x in r["finer"]] == [rest >> 12 * m & 0xFFF for m in range(4)] and len(set(r["finer"])) == 4
+
+
+@pytest.mark.parametrize("hot", [3, 100_000])
+def test_connected_components(spark, hot):
     chain = [(k, k + 1) for k in range(200)] + [(1000 + k, 1000) for k in range(50)] + [(5, 5), (7, 8), (8, 7)]
-    found = connected_components(spark.createDataFrame(chain, "u long, v long"), Scratch(spark, "test"))
+    found = connected_components(spark.createDataFrame(chain, "u long, v long"), Scratch(spark, "test"), hot)
     roots = {r["node"]: r["root"] for r in found.collect()}
     assert roots == {**{k: 0 for k in range(201)}, **{1000 + k: 1000 for k in range(51) if k < 50}}
 
