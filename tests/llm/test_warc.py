@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import json
-import zlib
 
 import pytest
 from pyarrow import fs
 from pyspark.sql import functions as F
 
-from loreseek.llm import warc
+from loreseek.llm import common, warc
 
 LONG = "<html>" + "x" * 200
 SCHEMA = "page_id long, url string, html string"
@@ -48,10 +46,10 @@ def test_same_as_sql(pages, same_in_duckdb):
     same_in_duckdb(warc.through_archives(pages), warc.WARC_SQL, pages=pages.select("page_id", "url", "html"))
 
 
-def test_payloads_come_back(captures):
+def test_payloads_come_back(spark, captures):
     wanted = {r[0]: (r[2] or "").encode() for r in ROWS}
     seen = 0
-    for row in captures.entries.select("file").distinct().collect():
+    for row in captures.scratch.read("entries").select("file").distinct().collect():
         for headers, payload in warc.members(captures.folder, row["file"]):
             seen += 1
             page_id = headers.get("x-page-id")
@@ -59,38 +57,67 @@ def test_payloads_come_back(captures):
                 assert payload == wanted[int(page_id)]
             if headers["warc-type"] == "revisit":
                 assert payload == b"" and wanted[int(headers["x-refers-to-page-id"])] == LONG.encode()
+                assert headers["warc-refers-to"] == warc.record_id(1, "http://example.org:80/", hashlib.sha256(LONG.encode()).hexdigest()) and headers["warc-refers-to-target-uri"] == "http://example.org:80/"
     assert seen == len(ROWS)
 
 
 def test_index_blocks_are_sorted_and_whole(captures):
     store, folder = fs.FileSystem.from_uri(captures.folder)
     lines = []
-    for b in captures.directory.orderBy("first_key").collect():
-        with store.open_input_file(f"{folder}/{b['file']}") as f:
-            block = [json.loads(x) for x in zlib.decompress(f.read_at(b["size"], b["at"])).decode().split("\n")]
-        assert (block[0][0], block[-1][0], len(block)) == (b["first_key"], b["last_key"], b["lines"]) and b["lines"] <= warc.LINES
-        lines += block
+    for row in captures.files.orderBy("first_key", "last_key").collect():
+        with store.open_input_file(f"{folder}/{row['file']}") as f:
+            directory = warc.Directory(f, row["blocks"], row["places_at"])
+            for k in range(row["blocks"]):
+                entry = directory.entry(k)
+                block = directory.block(entry)
+                assert (block[0][0], block[-1][0], len(block)) == entry[:3] and entry[2] <= warc.LINES
+                lines += block
     assert len(lines) == len(ROWS) and [x[0] for x in lines] == sorted(x[0] for x in lines)
 
 
-def test_lookup(captures):
+def test_lookup_gives_revisits_their_payload_under_any_url(captures):
     for url in {r[1] for r in ROWS if r[1]}:
-        found = captures.lookup(url)
+        found = list(captures.lookup(url))
         assert len(found) == sum(r[1] == url for r in ROWS)
         for headers, payload in found:
-            if headers["warc-type"] == "response":
-                assert hashlib.sha256(payload).hexdigest() == headers["warc-payload-digest"].removeprefix("sha256:")
-    assert captures.lookup("http://example.org/absent") == []
+            assert hashlib.sha256(payload).hexdigest() == headers["warc-payload-digest"].removeprefix("sha256:")
+    assert list(captures.lookup("http://example.org/absent")) == []
 
 
 def test_lookup_over_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(warc, "LINES", 512)
-    rows = [(k, f"http://h{k % 7}.example.org/{'same' if k % 3 else k}", f"page {k}" * 20) for k in range(3000)]
+    rows = [(k, f"http://h{k % 7}.example.org/{'same' if k % 3 else k}", f"page {k}" * 20) for k in range(9000)]
     captures = warc.Captures(spark).write(spark.createDataFrame(rows, SCHEMA))
-    assert captures.directory.count() > 4
+    assert captures.files.agg(F.sum("blocks")).first()[0] >= 18
     for url in ("http://h3.example.org/same", "http://h0.example.org/0", "http://h6.example.org/2994"):
         wanted = sorted(r[2] for r in rows if r[1] == url)
         assert sorted(p.decode() for _, p in captures.lookup(url)) == wanted
+    # The directory is searched, not read.
+    store, folder = fs.FileSystem.from_uri(captures.folder)
+    row = captures.files.orderBy(F.desc("blocks")).first()
+    with store.open_input_file(f"{folder}/{row['file']}") as f:
+        directory = warc.Directory(f, row["blocks"], row["places_at"])
+        assert list(directory.lines("org,example,h0)/0a")) == [] and directory.read <= row["blocks"].bit_length() + 2
+
+
+@pytest.mark.parametrize("hot", [1, 100_000])
+def test_hot_digests(spark, same_in_duckdb, monkeypatch, hot):
+    monkeypatch.setattr(warc, "join_hot", lambda rows, one, key: common.join_hot(rows, one, key, hot))
+    pages = spark.createDataFrame([(k if k % 5 else None, f"u{k % 50}", LONG if k % 3 else f"{k % 40}" * 60) for k in range(400)], SCHEMA)
+    same_in_duckdb(warc.through_archives(pages), warc.WARC_SQL, pages=pages)
+
+
+def test_ranges_read_neighbours_together(tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE", 10)
+    (tmp_path / "a").write_bytes(bytes(range(100)))
+    (tmp_path / "b").write_bytes(bytes(range(50)))
+    places = [("a", 0, 4), ("a", 4, 4), ("a", 8, 4), ("a", 50, 30), ("b", 1, 2), ("b", 40, 10)]
+    assert list(warc.ranges(iter(places), f"file://{tmp_path}")) == [bytes(range(at, at + n)) for _, at, n in places]
+
+
+def test_folders():
+    with pytest.raises(ValueError):
+        warc.opened("viewfs://cluster/x")
+    assert warc.opened("file:///tmp/x")[1] == "/tmp/x"
 
 
 def test_keys():
