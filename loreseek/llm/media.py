@@ -5,8 +5,14 @@ A-law samples, or as the 4-bit codes of IMA ADPCM blocks whose headers start
 each block at zero. The three codings take turns by the payload's crc32.
 Reading parses the container again. Decoding expands mu-law and A-law by
 lookup tables and runs ADPCM step by step across all blocks of many files at
-once; ``resampled`` doubles the rate by linear interpolation, and
-``store_pcm`` writes the resampled PCM as a table.
+once; ``resampled`` doubles the rate by linear interpolation, and ``store_pcm``
+writes the resampled PCM as a table, from which the features are computed.
+
+PCM is stored without loss as two columns: the even samples (of ADPCM their
+differences, which repeat more), and what the odd samples differ by from the
+mean of their neighbours - of interpolated PCM nothing but its last sample, so
+that the second column costs almost no space. ``stored_pcm`` gives all samples
+back, of any PCM.
 
 Defined results: a null text counts as empty; equal payloads give equal media;
 repeated rows are returned once each; an empty table gives an empty result;
@@ -28,6 +34,7 @@ from loreseek.llm.common import pieces
 from loreseek.sources.shared import Scratch
 
 RATE = 8000
+ZSTD = 12  # level of both tables
 UNIT = 192  # a payload is a multiple of so many bytes
 CODINGS = ("mulaw", "alaw", "adpcm")
 _TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
@@ -139,56 +146,95 @@ def resampled(pcm: np.ndarray) -> np.ndarray:
     return out
 
 
+def pcm_columns(pcm: np.ndarray, differences: bool) -> tuple[bytes, bytes]:
+    """The even samples, or their differences, and the odd samples' differences from the mean of their neighbours; modulo 2**16."""
+    even, odd = pcm[0::2], pcm[1::2]
+    return (np.diff(even, prepend=np.int16(0)) if differences else even).astype("<i2").tobytes(), (odd - _means(even, len(odd))).astype("<i2").tobytes()
+
+
+def stored_pcm(even: bytes, odd: bytes, differences: bool) -> np.ndarray:
+    first, rest = np.frombuffer(even, "<i2"), np.frombuffer(odd, "<i2")
+    first = np.cumsum(first, dtype=np.int16) if differences else first
+    out = np.empty(len(first) + len(rest), np.int16)
+    out[0::2], out[1::2] = first, rest + _means(first, len(rest))
+    return out
+
+
+def _means(even: np.ndarray, many: int) -> np.ndarray:
+    """The mean of each even sample and the next one, for ``many`` odd samples; after the last there is itself."""
+    wide = even.astype(np.int32)
+    return ((wide + np.r_[wide[1:], wide[-1:]]) >> 1)[:many].astype(np.int16)
+
+
+_MEDIA = "doc_id long, n_bytes long, media binary"
+_PCM = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, coding string, rate int, even binary, odd binary"
+
+
+def _write(df: DataFrame, path: str) -> None:
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", ZSTD).parquet(path)
+
+
+def _batch(rows: list[tuple], shape: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    fields = [x.split(" ") for x in shape.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
 def store(docs: DataFrame, path: str) -> None:
     """Writes (doc_id, n_bytes, media) of each row of ``docs`` (doc_id, text) as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 4 << 20):
-            sizes, media = [], []
-            for text in batch.column(1).to_pylist():
+            rows = []
+            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload, size = payload_of(text)
-                sizes.append(size)
-                media.append(encode(payload, CODINGS[zlib.crc32(payload) % 3]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+                rows.append((doc_id, size, encode(payload, CODINGS[zlib.crc32(payload) % 3])))
+            yield _batch(rows, _MEDIA)
 
-    docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary").write.option("compression", "zstd").parquet(path)
+    _write(docs.select("doc_id", "text").mapInArrow(run, _MEDIA), path)
 
 
 def store_pcm(media: DataFrame, path: str) -> None:
-    """Writes (doc_id, rate, pcm) of a media table: decoded, resampled 16-bit PCM."""
+    """Reads a media table and writes, for each row, what its stored bytes are and its decoded and resampled 16-bit PCM."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1 << 20, "media"):
-            pcm = [resampled(x).astype("<i2").tobytes() for x in decode_all([parse(m) for m in batch.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([2 * RATE] * len(pcm), pa.int32()), pa.array(pcm, pa.binary())], names=["doc_id", "rate", "pcm"])
+            stored = batch.column(2).to_pylist()
+            files = [parse(m) for m in stored]
+            rows = []
+            for doc_id, size, media, (coding, data), pcm in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), stored, files, decode_all(files), strict=True):
+                payload = stored_payload(coding, data)
+                facts = len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest()
+                rows.append((doc_id, size, *facts, coding, 2 * RATE, *pcm_columns(resampled(pcm), coding == "adpcm")))
+            yield _batch(rows, _PCM)
+
+    _write(media.select("doc_id", "n_bytes", "media").mapInArrow(run, _PCM), path)
+
 
-    media.select("doc_id", "media").mapInArrow(run, "doc_id long, rate int, pcm binary").write.option("compression", "zstd").parquet(path)
+_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def features(media: DataFrame) -> DataFrame:
-    """What the contract asks for, from the stored bytes of a media table."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+def features(pcm: DataFrame) -> DataFrame:
+    """What the contract asks for, from a table of ``store_pcm``: of the PCM its coding, samples, peak, root mean square, crossings of zero, and checksum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2 << 20, "media"):
-            stored = batch.column(2).to_pylist()
-            files = [parse(m) for m in stored]
+        for batch in pieces(batches, 2 << 20, "even"):
             rows = []
-            for media, (coding, data), pcm in zip(stored, files, decode_all(files), strict=True):
-                payload = stored_payload(coding, data)
-                wide = pcm.astype(np.int64)
-                crossings = int(((pcm[1:] < 0) != (pcm[:-1] < 0)).sum())
-                feature = f"{coding}:{2 * len(pcm)}:{int(np.abs(wide).max())}:{int(np.sqrt(wide @ wide / len(pcm)))}:{crossings}:{zlib.crc32(resampled(pcm).astype('<i2').tobytes()):08x}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                coding, _, even, odd = row[7:]
+                samples = stored_pcm(even, odd, coding == "adpcm")
+                wide = samples.astype(np.int64)
+                crossings = int(((samples[1:] < 0) != (samples[:-1] < 0)).sum())
+                rows.append((*row[:7], f"{coding}:{len(samples)}:{int(np.abs(wide).max())}:{int(np.sqrt(wide @ wide / len(wide)))}:{crossings}:{zlib.crc32(samples.astype('<i2').tobytes()):08x}"))
+            yield _batch(rows, _FEATURES)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return pcm.select(*[x.split(" ")[0] for x in _PCM.split(", ")]).mapInArrow(run, _FEATURES)
 
 
 def through_media(docs: DataFrame) -> DataFrame:
-    """Stores the media of ``docs`` (doc_id, text) in the shared folder and reads them back as features."""
+    """Stores the media of ``docs`` (doc_id, text) in the shared folder, then their PCM, and reads that back as features."""
     spark = docs.sparkSession
     path = Scratch(spark, "media").path
-    store(docs, path)
-    return features(spark.read.schema("doc_id long, n_bytes long, media binary").parquet(path))
+    store(docs, f"{path}/media")
+    store_pcm(spark.read.schema(_MEDIA).parquet(f"{path}/media"), f"{path}/pcm")
+    return features(spark.read.schema(_PCM).parquet(f"{path}/pcm"))

@@ -97,4 +97,12 @@ def test_stored_pcm(spark, edges, tmp_path):
     for r in rows:
         if r["doc_id"] is not None:
             pcm = media.decode_all([media.parse(stored[r["doc_id"]])])[0]
-            assert np.array_equal(np.frombuffer(bytes(r["pcm"]), "<i2"), media.resampled(pcm))
+            assert np.array_equal(media.stored_pcm(bytes(r["even"]), bytes(r["odd"]), r["coding"] == "adpcm"), media.resampled(pcm))
+            assert not any(bytes(r["odd"])[:-2])  # interpolated samples cost no space
+
+
+@pytest.mark.parametrize("differences", [False, True])
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 1001])
+def test_any_pcm_comes_back(n, differences):
+    pcm = np.random.default_rng(n).integers(-32768, 32768, n).astype(np.int16)
+    assert np.array_equal(media.stored_pcm(*media.pcm_columns(pcm, differences), differences), pcm)
