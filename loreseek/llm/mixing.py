@@ -12,14 +12,17 @@ the order of keys until the rest is spent, and the document at the edge gives
 the words that are still missing. The draw is a hash of the document, so reruns
 agree.
 
-The prefix sums are split: keys are mapped to ``BUCKETS`` equal parts of (0, 1),
-sizes are summed by source and part with map-side combine, and only the part in
-which a source's rest ends is sorted by document. So a source that holds a
-third of all rows is never sorted as a whole.
+The prefix sums are split: the keys' logarithms are mapped to ``BUCKETS`` equal
+parts, sizes are summed by source and part with map-side combine, and the part
+in which a source's rest ends is cut into ``BUCKETS`` parts once more; only the
+part of those in which it ends is sorted by document. On a logarithmic scale an
+exponential draw of any weight has less than half a percent in a part, so this
+holds for sources of any mixture of weights: a source that holds a third of all
+rows is never sorted as a whole, nor is a noticeable share of it.
 
 Defined results: a null text has size 0 and takes 0; a source of size 0 has
-target 0; a null source is a source of its own; rows of equal ids and texts
-draw the same key and are taken in order of size; repeated rows are returned
+target 0; a null source is a source of its own; rows of equal ids draw
+the same key and are taken in order of size; rows without an id draw by their text; repeated rows are returned
 once each; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -35,6 +38,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 LIMIT = 2.0
 BUCKETS = 4096
+_FROM, _TO = -37.0, 6.0  # logarithms of the least and greatest key
 SEED = "mix-1"
 
 
@@ -49,9 +53,10 @@ def quality_weight(text: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.1), F.round(1 - 2 * marks / F.when(length > 0, length), 3)), F.lit(0.1))
 
 
-def exponential_key(doc_id: Column, weight: Column) -> Column:
-    """An exponential draw over the weight, from 52 bits of a hash."""
-    hashed = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def exponential_key(doc_id: Column, text: Column, weight: Column) -> Column:
+    """An exponential draw over the weight, from 52 bits of a hash of the id, or of the text where there is none."""
+    unnamed = F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit(""))))
+    hashed = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(doc_id.cast("string"), unnamed)))
     uniform = (F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     return -F.log(uniform) / weight
 
@@ -73,7 +78,21 @@ def targets(sources: DataFrame) -> DataFrame:
 
 
 def _key() -> Column:
-    return exponential_key(F.col("doc_id"), quality_weight(F.col("text")))
+    return exponential_key(F.col("doc_id"), F.col("text"), quality_weight(F.col("text")))
+
+
+def _part(value: Column, low: Column, high: Column) -> Column:
+    """The number of the equal part of [low, high] in which a value lies."""
+    width = F.when(high > low, high - low).otherwise(F.lit(1.0))
+    return F.greatest(F.lit(0), F.least(F.lit(BUCKETS - 1), F.floor((value - low) / width * BUCKETS))).cast("int")
+
+
+def _before(rows: DataFrame, name: str) -> DataFrame:
+    """(s, p, before, own, low, high): for each source and part of ``rows``, the words of the parts before, its own, and its outer keys."""
+    parts = rows.groupBy("source", "part").agg(F.sum("size").alias("own"), F.min("key").alias("low"), F.max("key").alias("high"))
+    parts = Scratch(rows.sparkSession, "mixing").table(parts, name)
+    run = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("own").over(run), F.lit(0)).alias("before"), "own", "low", "high")
 
 
 def decided(docs: DataFrame) -> DataFrame:
@@ -83,26 +102,30 @@ def decided(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     drawn = docs.select("doc_id", "source", words(F.col("text")).alias("size"), _key().alias("key"))
-    part = F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int")
-    drawn = scratch.table(drawn.withColumn("part", part), "drawn")
-    parts = scratch.table(drawn.groupBy("source", "part").agg(F.sum("size").alias("part_size")), "parts")
-    goal = targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")))
+    drawn = scratch.table(drawn.withColumn("part", _part(F.log("key"), F.lit(_FROM), F.lit(_TO))), "drawn")
+    parts = _before(drawn, "parts")
+    goal = targets(parts.groupBy(F.col("s").alias("source")).agg(F.sum("own").alias("source_size")))
     size = F.when(F.col("source_size") > 0, F.col("source_size"))
     epochs = F.coalesce(F.floor(F.col("target") / size), F.lit(0)).cast("long")
     goal = goal.withColumn("epochs", epochs).withColumn("rest", F.round("target").cast("long") - F.col("epochs") * F.col("source_size"))
-    goal = goal.select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest")
-    run = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = parts.withColumn("ahead", F.coalesce(F.sum("part_size").over(run), F.lit(0)))
-    ahead = ahead.join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("source").withColumnRenamed("part", "p")
-    placed = drawn.join(ahead, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-    edge = (F.col("ahead") < F.col("rest")) & (F.col("ahead") + F.col("part_size") > F.col("rest"))
-    columns = ["doc_id", "size", "source_size", "target", "source", "epochs", "key"]
-    whole = placed.filter(~edge).withColumn("some", F.col("size") * (F.col("ahead") < F.col("rest")).cast("long")).select(*columns, "some")
+    goal = goal.select(F.col("source").alias("g"), "source_size", "target", "epochs", "rest")
+    parts = parts.join(goal, F.col("s").eqNullSafe(F.col("g"))).drop("g")
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))
+    columns = ["doc_id", "size", "source_size", "target", "source", "epochs", "key", "some"]
+    edge = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("own") > F.col("rest"))
+    all_or_none = F.col("size") * (F.col("before") < F.col("rest")).cast("long")
+    placed = drawn.join(parts, same)
+    settled = [placed.filter(~edge).withColumn("some", all_or_none).select(*columns)]
+    # The part in which a source's rest ends, cut once more between its outer keys.
+    finer = placed.filter(edge).select("doc_id", "size", "source_size", "target", "source", "epochs", "key", (F.col("rest") - F.col("before")).alias("rest"), _part(F.col("key"), F.col("low"), F.col("high")).alias("part"))
+    finer = scratch.table(finer, "finer")
+    placed = finer.join(_before(finer, "parts-finer"), same)
+    settled.append(placed.filter(~edge).withColumn("some", all_or_none).select(*columns))
     within = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("ahead") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    some = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before))
-    cut = placed.filter(edge).withColumn("some", some).select(*columns, "some")
-    return whole.union(cut).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs") + F.col("some")).alias("taken"), "source", "epochs", "some", "key")
+    left = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(within), F.lit(0))
+    settled.append(placed.filter(edge).withColumn("some", F.greatest(F.lit(0), F.least(F.col("size"), left))).select(*columns))
+    every = settled[0].union(settled[1]).union(settled[2])
+    return every.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs") + F.col("some")).alias("taken"), "source", "epochs", "some", "key")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -130,7 +153,7 @@ MIX_SQL = r"""
 WITH drawn AS (
   SELECT doc_id, source,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    -ln((CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+    -ln((CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
       / coalesce(greatest(0.1::DOUBLE, round(1 - 2 * (length(text) - length(translate(text, '!#$%&*|<>{}[]\^~=@_/+0123456789', '')))::DOUBLE / nullif(length(text), 0), 3)), 0.1::DOUBLE) AS key
   FROM documents),
 sizes AS (

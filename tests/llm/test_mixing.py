@@ -91,6 +91,18 @@ def test_same_as_sql_on_a_hot_source(make_docs, same_in_duckdb):
     same_in_duckdb(mixing.mix(docs), mixing.MIX_SQL, documents=docs)
 
 
+def test_parts_of_a_source_of_least_weight_are_small(spark, make_docs):
+    """A junk source weighs 0.1, where parts of the uniform draw would put 43 % of it into the last one."""
+    keys = spark.range(100_000).select(mixing.exponential_key(mixing.F.col("id"), mixing.F.lit(None).cast("string"), mixing.F.lit(0.1)).alias("key"))
+    parts = keys.groupBy(mixing._part(mixing.F.log("key"), mixing.F.lit(mixing._FROM), mixing.F.lit(mixing._TO)).alias("part")).count()
+    assert parts.agg(mixing.F.max("count")).first()[0] < 600
+
+
+def test_same_as_sql_on_a_junk_source(make_docs, same_in_duckdb):
+    docs = make_docs([(k if k % 7 else None, "### $$$ " * (1 + k % 5) + str(k % 90), "en", "junk" if k % 3 else "b", 0) for k in range(600)])
+    same_in_duckdb(mixing.mix(docs), mixing.MIX_SQL, documents=docs)
+
+
 def test_reruns_agree_however_rows_are_dealt(make_docs):
     docs = corpus(make_docs)
     runs = [sorted(map(str, mixing.mix(docs.repartition(n)).collect())) for n in (1, 6)]
