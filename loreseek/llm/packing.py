@@ -9,10 +9,14 @@ bitmap of its duplicate clusters. A piece (largest first) goes to the tightest
 compatible bin: the search steps from residual to successor until one is found,
 and opens a new bin only if there is none.
 
-Documents are dealt to shards by hash, about ``SHARD`` pieces each, and shards
-are packed independently: a shard's size is bounded, copies and hot sources
-spread over all shards, and each shard leaves at most a few loose bins. Only
-ids, sizes, sources and cluster names move, never texts.
+Documents are dealt to shards by a hash of id and text, about ``SHARD`` pieces
+each, and shards are packed independently: a shard's size is bounded, copies and
+hot sources spread over all shards, and each shard leaves at most a few loose
+bins. Rows that are equal in all that counts are one row with a number until
+they are dealt, ``TOGETHER`` of them to a shard and the next ones to the next
+shard, so a hot row spreads as well, and bins depend on the rows only, not on
+how they lie in files. Only ids, sizes, sources and cluster names move, never
+texts.
 
 Defined results: a null or wordless text has one piece of size 0, which fits
 anywhere that its conflicts allow; a null source is a source; rows with a null
@@ -34,8 +38,7 @@ from loreseek.llm.mixing import words
 
 CAPACITY = 2048
 SHARD = 8192
-#: Pairs of sources that must not share a sequence.
-APART = (("src1", "src2"), ("src3", "src4"))
+TOGETHER = 64
 
 
 class Bins:
@@ -77,7 +80,7 @@ class Bins:
         return b
 
 
-def pack(pieces: Iterable[tuple[int, str | None, int | None]], capacity: int = CAPACITY, apart: Iterable[tuple[str, str]] = APART) -> list[int]:
+def pack(pieces: Iterable[tuple[int, str | None, int | None]], capacity: int = CAPACITY, apart: Iterable[tuple[str, str]] = ()) -> list[int]:
     """The bin of each (size, source, cluster), in the order given; sizes don't exceed the capacity."""
     rows = list(pieces)
     sources = {s: 1 << k for k, s in enumerate(dict.fromkeys(r[1] for r in rows))}
@@ -102,11 +105,12 @@ def cluster_of(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.xxhash64(lowered))
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, apart: Iterable[tuple[str, str]] = APART, cluster: Column | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, apart: Iterable[tuple[str, str]] = (), cluster: Column | None = None) -> DataFrame:
     """(doc_id, source, size, piece, start, words, shard, bin, full) of each piece of ``docs`` (doc_id, text, source).
 
     start, words: the piece's place in the document's words. A bin is named by shard and bin; a full
-    piece has a bin of its own, numbered below zero. cluster: a long that names the duplicate cluster.
+    piece has a bin of its own, numbered below zero. apart: pairs of sources that must
+    not share a bin. cluster: a long that names the duplicate cluster (default: exact copies, up to ASCII case).
     """
     spark = docs.sparkSession
     count = docs.count()
@@ -115,16 +119,18 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD
     name = cluster if cluster is not None else cluster_of(F.col("text"))
     salt = F.coalesce(F.xxhash64("doc_id", "text"), F.lit(0))
     narrow = docs.select("doc_id", "source", size.alias("size"), name.alias("cluster"), salt.alias("salt"))
-    narrow = narrow.withColumn("shard", F.pmod("salt", F.lit(shards)).cast("int"))
-    # Many equal rows share a hash: the rows of a hot hash are spread by a draw over the task's own row numbers.
-    narrow = narrow.withColumn("shard", F.pmod(F.col("shard") + F.pmod(F.monotonically_increasing_id(), F.lit(shards)), F.lit(shards)).cast("int"))
+    # Equal rows are counted map-side; their copies are dealt by rank, and it doesn't matter which row has which.
+    equal = narrow.groupBy("doc_id", "source", "size", "cluster", "salt").agg(F.count("*").alias("many"))
+    chunks = equal.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("many") - 1) / TOGETHER))))
+    narrow = chunks.select("doc_id", "source", "size", "cluster", F.pmod(F.pmod("salt", F.lit(shards)) + F.col("chunk"), F.lit(shards)).cast("int").alias("shard"), F.least(F.lit(TOGETHER), F.col("many") - F.col("chunk") * TOGETHER).cast("int").alias("times"))
     apart = tuple(apart)
     out = "doc_id long, source string, size long, piece int, start long, words long, shard int, bin long, full boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            for *row, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held += [tuple(row)] * times
             while held and held[0][0] != held[-1][0]:
                 cut = next(k for k, r in enumerate(held) if r[0] != held[0][0])
                 yield from packed(held[:cut])
@@ -147,5 +153,5 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
 
     tasks = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = narrow.select("shard", "doc_id", "source", "size", "cluster").repartition(tasks, "shard")
+    dealt = narrow.select("shard", "doc_id", "source", "size", "cluster", "times").repartition(tasks, "shard")
     return dealt.sortWithinPartitions("shard", "doc_id", "size", "source", "cluster").mapInArrow(run, out)

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from loreseek.llm import media, mixing, packing, pii, quality, secrets, simhash, substrings, topk, warc
 from loreseek.llm.common import documents
 
+#: Production parameter of the packing: sources that must not share a sequence.
+APART = (("src1", "src2"), ("src3", "src4"))
+
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return packing.pack_documents(documents(spark, sf_dir).select("doc_id", "text", "source"), apart=APART)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

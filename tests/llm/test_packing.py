@@ -78,6 +78,14 @@ def test_large_group_of_copies_spreads_over_shards(make_docs):
     assert len(sizes) == 12 and max(sizes.values()) < 120
 
 
+def test_bins_do_not_depend_on_the_layout(make_docs):
+    rows = [(k % 450 if k % 9 else None, prose(k % 40, k % 450), "en", "abc"[k % 3], 0) for k in range(900)] + [(7, "same row", "en", "a", 0)] * 300
+    shown = lambda n: sorted(map(str, pack_documents(make_docs(rows).repartition(n), capacity=100, shard=50, apart=PAIRS).collect()))
+    assert shown(1) == shown(3) == shown(7)
+    spread = {r["shard"] for r in pack_documents(make_docs(rows), capacity=100, shard=50).collect() if r["doc_id"] == 7}
+    assert len(spread) >= 5
+
+
 def test_reruns_agree_and_empty_table(make_docs, nothing):
     docs = make_docs([(k, prose(k % 17, k), "en", "abc"[k % 3], 0) for k in range(200)]).coalesce(2)
     assert sorted(map(str, pack_documents(docs).collect())) == sorted(map(str, pack_documents(docs).collect()))
