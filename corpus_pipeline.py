@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loreseek.llm import mixing, packing, pii, quality, simhash
-from loreseek.llm.common import Scratch
+from loreseek.llm.queries import APART
+from loreseek.sources.shared import Scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -42,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The bin of each piece of each document."""
-    return packing.pack_documents(docs.select("doc_id", "text", "source"))
+    return packing.pack_documents(docs.select("doc_id", "text", "source"), apart=APART)
 
 
 STAGES = [
