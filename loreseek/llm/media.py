@@ -34,7 +34,7 @@ from loreseek.llm.common import pieces
 from loreseek.sources.shared import Scratch
 
 RATE = 8000
-ZSTD = 12  # level of both tables
+ZSTD, PAGE = 12, 8 << 20  # level and page size of both tables
 UNIT = 192  # a payload is a multiple of so many bytes
 CODINGS = ("mulaw", "alaw", "adpcm")
 _TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
@@ -171,7 +171,9 @@ _PCM = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, ta
 
 
 def _write(df: DataFrame, path: str) -> None:
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", ZSTD).parquet(path)
+    # Large pages, as each is compressed alone, and no dictionary of whole files.
+    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": ZSTD, "parquet.page.size": PAGE, "parquet.page.row.count.limit": 1_000_000, "parquet.enable.dictionary": "false"}
+    df.write.options(**options).parquet(path)
 
 
 def _batch(rows: list[tuple], shape: str) -> pa.RecordBatch:
