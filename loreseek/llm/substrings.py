@@ -50,6 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loreseek.llm.common import pieces, text_bytes
+from loreseek.operators.walk import count_windows
 from loreseek.sources.shared import Scratch
 
 WIDTH = 100
@@ -374,9 +375,9 @@ def _numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
     odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").limit(1).count()
     if not odd:
         return docs.withColumn("doc", F.col("doc_id")), False
-    named = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("t"))
-    order = named.distinct().orderBy(F.col("doc_id").asc_nulls_last(), "t").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    number = scratch.table(docs.sparkSession.createDataFrame(order, "k long, t string, doc long"), "numbers")
+    named = docs.select(F.col("doc_id").alias("k"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("t")).distinct()
+    order = F.struct(F.col("k").isNull().alias("none"), "k", "t")
+    number = scratch.table(count_windows(named, order, 1).withColumnRenamed("window_no", "doc"), "numbers")
     on = F.col("doc_id").eqNullSafe(F.col("k")) & (F.sha2(F.coalesce("text", F.lit("")), 256) == F.col("t"))
     return docs.join(number, on).select("doc_id", "text", "doc"), True
 
@@ -391,8 +392,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block:
     records = once.select("doc", "text").mapInArrow(lambda b: _records(b, width, gram), _RECORD)
     marks = scratch.table(_sorted(records, single=False), "marks")
     opened = marks.filter("open")
-    hot = opened.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("h", F.lit(True).alias("hot"))
-    opened = opened.join(hot, "h", "left").select("doc", F.struct("h", "at", F.coalesce("hot", F.lit(False)).alias("hot")).alias("at"))
+    # At most one row for each ``block`` records; broadcast, so the records of a hot gram stay in their tasks.
+    hot = scratch.table(opened.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("h", F.lit(True).alias("hot")), "hot")
+    opened = opened.join(F.broadcast(hot), "h", "left").select("doc", F.struct("h", "at", F.coalesce("hot", F.lit(False)).alias("hot")).alias("at"))
     dealt = docs.select("doc", "text", "doc_id").repartition("doc")  # one exchange for all joins
     lists = lambda df: df.groupBy("doc").agg(F.collect_list("at").alias("marks"))
     marked = dealt.join(lists(opened), "doc", "left").select("doc", "text", "marks")
@@ -404,3 +406,20 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block:
         gone = gone.union(_sorted(windows, single=True).select("doc", "at"))
     result = dealt.join(lists(gone), "doc", "left").select("doc", "text", "marks", "doc_id")
     return result.mapInArrow(lambda b: _cut(b, width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: The same in DuckDB SQL: all windows of all texts, in hexadecimal digits.
+REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, dense_rank() OVER (ORDER BY doc_id NULLS LAST, sha256(coalesce(text, ''))) AS n, strlen(coalesce(text, '')) AS size, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+parts AS (SELECT n, size, unnest(range(0, greatest(size - 99, 0), 200)) AS begin, x FROM (SELECT DISTINCT n, size, x FROM d)),
+cut AS (SELECT n, size, begin, substr(x, CAST(2 * begin + 1 AS BIGINT), 598) AS x FROM parts),
+w AS (SELECT n, begin + k AS pos, substr(x, CAST(2 * k + 1 AS BIGINT), 200) AS window_hex FROM (SELECT n, size, begin, x, unnest(range(0, least(200, size - 99 - begin))) AS k FROM cut)),
+again AS (SELECT n, pos FROM (SELECT n, pos, row_number() OVER (PARTITION BY window_hex ORDER BY n, pos) AS place FROM w) WHERE place > 1),
+islands AS (SELECT n, pos, sum(fresh) OVER (PARTITION BY n ORDER BY pos) AS island FROM (SELECT n, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY n ORDER BY pos) + 100 THEN 0 ELSE 1 END AS fresh FROM again)),
+gone AS (SELECT n, min(pos) AS a, max(pos) + 100 AS b FROM islands GROUP BY n, island),
+edges AS (SELECT n, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM gone GROUP BY n),
+kept AS (SELECT doc_id, size, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN a IS NULL THEN x ELSE array_to_string(list_transform(range(1, len(a) + 2), lambda k: substr(x, CASE WHEN k = 1 THEN 1 ELSE 2 * b[k - 1] + 1 END, 2 * (CASE WHEN k > len(a) THEN size ELSE a[k] END - CASE WHEN k = 1 THEN 0 ELSE b[k - 1] END))), '') END AS y
+  FROM d LEFT JOIN edges USING (n))
+SELECT doc_id, CAST(size AS BIGINT) AS n_bytes, n_removed, n_spans, sha256(unhex(y)) AS kept_sha256 FROM kept
+"""

@@ -120,3 +120,10 @@ def test_edges(edges, nothing):
 def test_widths_out_of_range_are_refused(nothing):
     with pytest.raises(ValueError):
         substrings.remove_repeats(nothing, 40, 32)
+
+
+def test_same_as_sql(edges, make_docs, same_in_duckdb):
+    docs = edges.select("doc_id", "text").filter("doc_id is null or doc_id <> 6")  # the long text is held against the scan above
+    rows = [(k, t) for k, t in enumerate(shared(9))]
+    docs = docs.unionByName(make_docs([(100 + k, t, "en", "a", 0) for k, t in rows]).select("doc_id", "text"))
+    same_in_duckdb(substrings.remove_repeats(docs), substrings.REPEATS_SQL, documents=docs)
