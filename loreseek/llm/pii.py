@@ -149,23 +149,59 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
-_AT = re.compile(r"(?i)\s{0,2}[\[({<]\s{0,2}at\s{0,2}[\])}>]\s{0,2}")
-_DOT = re.compile(r"(?i)\s{0,2}[\[({<]\s{0,2}(?:dot|punkt|point|punto)\s{0,2}[\])}>]\s{0,2}")
+_AT = re.compile(r"(?i)\s{0,2}[\[({<]\s{0,2}(?:at|@)\s{0,2}[\])}>]\s{0,2}")
+_DOT = re.compile(r"(?i)\s{0,2}[\[({<]\s{0,2}(?:dot|punkt|point|punto|\.)\s{0,2}[\])}>]\s{0,2}")
+#: How markup and links write the two signs.
+_CODED = re.compile(r"(?i)(&#0*64;|&#x0*40;|&commat;|%40)|(?:&#0*46;|&#x0*2e;|&period;|%2e)")
+#: Signs joined by one mark: jane_at_example_dot_com. At least one dot word makes it an address.
+_JOINED = re.compile(r"(?i)(?<![a-z0-9._%+-])(?:(?!at(?P<m>[_-]))[a-z0-9.%+]++[_-])*?(?<=[_-])at(?P<s>[_-])[a-z0-9]++(?:(?P=s)dot(?P=s)[a-z0-9]++)++")
+_MARKED = re.compile(r"(?i)_at_|-at-")
+_JOINED_SIGN = re.compile(r"(?i)(?P<m>[_-])(at|dot)(?P=m)")
+#: An at sign between blanks; the domain's dots are then all between blanks, or none is.
+_SPACED = re.compile(r"(?i)(?<=[a-z0-9_%+-])(?P<at>\s@\s)(?=(?P<domain>[a-z0-9-]++(?:(?:\.[a-z0-9-]++)++|(?:\s\.\s[a-z0-9-]++)++)))")
 #: A plain sign counts only where a complete address results: a local part, an at, a dot, and an ending of letters.
 _PLAIN = re.compile(r"(?i)(?<=[a-z0-9_%+-])(?:\s{1,2}at\s{1,2}|@)(?P<first>[a-z0-9-]++)(?:(?:\s{1,2}dot\s{1,2}|\.)[a-z0-9-]++)++")
 _ENDING = re.compile(r"(?i)(?:\s|\.)(?P<last>[a-z]{2,}|xn--[a-z0-9-]+)$")
 _SIGN = re.compile(r"(?i)\s{1,2}(at|dot)\s{1,2}")
 _DOT_WORD = re.compile(r"(?i)\sdot\s")
+_AT_DOMAIN = re.compile(r"(?i)\sat\s{1,2}[a-z0-9-]++\.[a-z0-9]")
+#: Words that stand before "at" and the name of a site in prose.
+_PROSE = frozenset("look looks looked looking met meet available hosted found live visit more here info information details online site page pages home published posted read see seen listed documentation docs is are was were be us me it them him her you demo source sources code downloads download example examples join joined shop".split())
+#: Words that announce an address.
+_CUE = re.compile(r"(?i)\b(?:e-?mails?|mails?|mailto|contact|contacts|address|addresses|write|reach|send|reply)\b[^\n.!?]{0,24}$")
 _BEFORE = re.compile(r"(?i)[a-z0-9_%+-](\s{1,2}dot\s{1,2})\Z")
 #: Fixed values: "look at the dot on the page" is prose, so after one of these words only a common ending makes an address.
 _DETERMINERS = frozenset("the a an this that these those each every any some one no his her its my our your their which what".split())
 _COMMON = frozenset("com org net edu gov info biz dev app io ai co eu uk de ch fr es nl".split())
 
 
+def _announced(text: str, m: re.Match) -> bool:
+    """Whether a plain at before a written domain joins an address, in a text without another sign: a local part that is no word, a cue before it, or a line of its own."""
+    start = m.start()
+    while start > 0 and text[start - 1] in _LOCAL:
+        start -= 1
+    local = text[start : m.start()]
+    begin = max(0, start - 64)
+    _, broken, line = ("\n" * (begin == 0) + text[begin:start]).rpartition("\n")
+    rest = text[m.end() : m.end() + 64].partition("\n")[0]
+    alone = bool(broken) and local.lower() not in _PROSE and not any(c.isalnum() for c in line + rest)
+    return alone or any(c in "._+" or c.isdigit() for c in local.strip(".")) or _CUE.search(line[-48:]) is not None
+
+
+def _marked_signs(text: str) -> list[tuple[int, int, str]]:
+    """The edits of signs that are joined by marks or stand between blanks."""
+    edits = [(m.start() + x.start(), m.start() + x.end(), "@" if x.group(2).lower() == "at" else ".") for m in _JOINED.finditer(text) for x in _JOINED_SIGN.finditer(m.group())]
+    if " @" in text or "\t@" in text:
+        for m in _SPACED.finditer(text):
+            edits.append((*m.span("at"), "@"))
+            edits += [(m.start("domain") + x.start(), m.start("domain") + x.end(), ".") for x in re.finditer(r"\s\.\s", m.group("domain"))]
+    return sorted(edits)
+
+
 def _plain_signs(text: str) -> list[tuple[int, int, str]]:
     """The edits of plain at and dot words, of whole addresses only."""
-    dots = _DOT_WORD.search(text) is not None
-    if not dots and "@" not in text:
+    hinted = "@" in text or _DOT_WORD.search(text) is not None
+    if not hinted and _AT_DOMAIN.search(text) is None:
         return []
     edits: list[tuple[int, int, str]] = []
     free = 0
@@ -174,6 +210,8 @@ def _plain_signs(text: str) -> list[tuple[int, int, str]]:
         spelled = m.group()[0] != "@"
         if ending is None or spelled and m.group("first").lower() in _DETERMINERS and ending.group("last").lower() not in _COMMON:
             continue
+        if not hinted and not _announced(text, m):
+            continue
         signs, start = [], m.start()
         while True:
             while start > free and text[start - 1] in _LOCAL:
@@ -200,6 +238,10 @@ def rewrite(text: str) -> Rewritten | None:
         edits = sorted([(m.start(), m.end(), "@") for m in _AT.finditer(new.text)] + [(m.start(), m.end(), ".") for m in _DOT.finditer(new.text)])
         if edits := [e for k, e in enumerate(edits) if not k or edits[k - 1][1] <= e[0]]:
             new.apply(edits)
+    if ("&" in new.text or "%" in new.text) and (edits := [(m.start(), m.end(), "@" if m.group(1) else ".") for m in _CODED.finditer(new.text)]):
+        new.apply(edits)
+    if (_MARKED.search(new.text) or "@" in new.text) and (edits := _marked_signs(new.text)):
+        new.apply(edits)
     if edits := _plain_signs(new.text):
         new.apply(edits)
     return new if new.changed.any() or len(new.text) != len(text) else None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -10,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loreseek.llm import pii
+from loreseek.llm.pii import KINDS, all_spans
 from tests.llm.conftest import edge_rows, prose
 
 
@@ -175,3 +177,43 @@ def test_spelled_numbers_of_prose():
 @pytest.mark.parametrize("found", ["jane at example dot\ncom", "jane at example\tdot\tcom", "jane\nat example\r\ndot com", "jane at example  dot  com"])
 def test_signs_between_any_white_space(found):
     assert pii.mask(f"write to {found} now") == "write to <EMAIL> now"
+
+
+def planted(seed: int) -> list[tuple[str, str, str]]:
+    """(kind, disguised identifier, text around it) of many forms, with varied names and numbers."""
+    rng = random.Random(seed)
+    words = "zero one two three four five six seven eight nine".split()
+    spell = lambda digits: " ".join(words[int(d)] for d in digits)
+    out = []
+    for _ in range(12):
+        user, host, end = rng.choice(["jane", "j.doe", "bob42", "ann_lee"]), rng.choice(["example", "mail-host", "uni3"]), rng.choice(["com", "pl", "org", "se", "museum"])
+        for form in ("{u} at {h} dot {e}", "{u} AT {h} DOT {e}", "{u} [at] {h} [dot] {e}", "{u}(at){h}(dot){e}", "{u}[@]{h}[.]{e}", "{u} {{at}} mail {{dot}} {h} {{dot}} {e}", "{u}@{h} dot {e}", "{u} at\n{h} dot {e}", "{u}&#64;{h}&#46;{e}", "{u}%40{h}.{e}", "{u} @ {h} . {e}", "mail me: {u} at {h}.{e}"):
+            found = form.format(u=user, h=host, e=end)
+            out.append(("email", found.removeprefix("mail me: "), f"so {found} it is" if not found.startswith("mail") else f"so {found} it is"))
+        if "_" not in user and "-" not in host:
+            out.append(("email", f"{user}_at_{host}_dot_{end}", f"so {user}_at_{host}_dot_{end} it is"))
+        octets = [str(rng.randint(0, 255)) for _ in range(4)]
+        out += [("ip", x, f"host {x} is up") for x in (" dot ".join(octets), "[.]".join(octets), "(dot)".join(octets), " dot ".join(map(spell, octets)))]
+        body = [rng.randint(0, 9) for _ in range(15)]
+        total = sum(d if k % 2 else d * 2 - 9 * (d > 4) for k, d in enumerate(body))
+        card = "".join(map(str, [*body, -total % 10]))
+        groups = [card[k : k + 4] for k in range(0, 16, 4)]
+        out += [("card", x, f"paid with {x} today") for x in (spell(card), " ".join([*groups[:3], spell(groups[3])]), card.translate({48 + k: 0xFF10 + k for k in range(10)}), "\u2011".join(groups), "\u200b".join(card))]
+        number = str(rng.randint(10**9, 10**10 - 1))
+        out += [("phone", x, f"call {x} now") for x in (f"plus four nine {number}", f"+49 {spell(number)}", f"+49 {number[:4]} {spell(number[4:])}", f"plus {spell('49' + number)}", "\uff0b49 " + number)]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["email", "ip", "card", "phone"])
+def test_planted_disguises_are_found(kind):
+    rows = [(x, text) for k, x, text in planted(5) if k == kind]
+    caught = [any(KINDS[k] == kind and text[a:b].strip() == x for a, k, b in all_spans(text)[1]) for x, text in rows]
+    assert sum(caught) >= 0.95 * len(rows), [x for (x, _), hit in zip(rows, caught, strict=True) if not hit]
+
+
+@pytest.mark.parametrize("text", [
+    "we met at example.org yesterday", "Look at the dot on the page. Then go.", "meet @ noon. Then leave", "he scored 3 at home . Later 2", "nine of ten at one point four", "at_home_dot_matrix", "rates at 3.5 percent",
+    "Arrive at St. Pauls", "one two three four five six", "50% 40% of them", "A&B at 10.30", "see sections (.) and [at] end", "plus one or two at most", "version 1.2.3 at line 4.5", *(prose(400, k) for k in range(30)),
+])
+def test_clean_texts_are_left_alone(text):
+    assert all_spans(text)[1] == []
