@@ -10,6 +10,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local: str | None = None
 _written: list[tuple[SparkSession, str]] = []
 
@@ -48,8 +50,13 @@ class Scratch:
         _written.append((spark, self.path))
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        schema = df.schema
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        """Writes a frame and reads it back; the shuffle files of the write are removed with it, not when the driver next collects garbage."""
+        schema, before = df.schema, self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         return self.read(name, schema)
 
     def read(self, name: str, schema=None) -> DataFrame:
