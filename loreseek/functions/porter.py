@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-_STEP2 = {
+#: The published endings.
+STEP2 = {
     "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "logi": "log", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous",
     "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
 }
-_STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
-_STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 
 def _consonants(word: str) -> str:
@@ -64,11 +65,11 @@ def stem(word: str) -> str:
                 w += "e"
     if w.endswith("y") and _has_vowel(w[:-1]):
         w = w[:-1] + "i"
-    w = _replace(w, _STEP2, 1)
-    w = _replace(w, _STEP3, 1)
+    w = _replace(w, STEP2, 1)
+    w = _replace(w, STEP3, 1)
     for size in (5, 4, 3, 2):
         end = w[-size:]
-        if len(w) > size and end in _STEP4:
+        if len(w) > size and end in STEP4:
             if _measure(w[:-size]) > 1 and (end != "ion" or w[-4] in "st"):
                 w = w[:-size]
             break

@@ -1,10 +1,9 @@
-"""DuckDB SQL for the registered queries. It follows the same reading of the semantics as the plans; fixed cases in the tests hold both.
-
-Left out is what SQL does not express here: stemmed keyword search (``fts_porter``).
-"""
+"""DuckDB SQL for the registered queries. It follows the same reading of the semantics as the plans; fixed cases in the tests hold both."""
 
 from __future__ import annotations
 
+from loreseek.functions.porter import STEP2, STEP3, STEP4
+
 _BLOBS = "b AS (SELECT doc_id, sha1(text) AS blob_hash, source || '/' || lang || '/' || doc_id || '.txt' AS path, source AS branch, text AS content FROM documents)"
 _CONTENTS = "c AS (SELECT blob_hash, any_value(content) AS content FROM b GROUP BY blob_hash)"
 _INDEXED = "i AS (SELECT DISTINCT blob_hash FROM b WHERE doc_id IN (SELECT doc_id FROM labels))"
@@ -82,6 +81,52 @@ hit AS (
   FROM tf JOIN idf USING (phrase) JOIN dl USING (blob_hash), stat GROUP BY blob_hash HAVING count(*) = {len(phrases)})"""
 
 
+# -- stems, step by step over the distinct terms; ``f`` is a word's form: v for vowels, # for all else
+
+def _form(word: str) -> str:
+    """A y is a vowel after a consonant, so in a row of them every other one."""
+    marked = f"regexp_replace(regexp_replace({word}, '(^|[aeiou])y', '\\1Y', 'g'), 'yy', 'yY', 'g')"
+    return f"regexp_replace(regexp_replace({marked}, '[^aeiouy]', '#', 'g'), '[aeiouy]', 'v', 'g')"
+
+
+_ONE, _TWO = "'v#'", "'v#.*v#'"  # at least one, two changes from vowels to consonants
+
+
+def _stem_of(n: int) -> str:
+    return f"left(f, length(w) - {n})"
+
+
+def _short(word: str, form: str) -> str:
+    return f"(ends_with({form}, '#v#') AND right({word}, 1) NOT IN ('w', 'x', 'y'))"
+
+
+def _endings(table: dict[str, str], least: str, also: str = "true") -> str:
+    """The longest ending of the table that is shorter than the word is replaced if the rest's form allows."""
+    cases = [f"WHEN ends_with(w, '{old}') AND length(w) > {len(old)} THEN CASE WHEN regexp_matches({_stem_of(len(old))}, {least}) AND {also if old == 'ion' else 'true'} THEN left(w, length(w) - {len(old)}) || '{new}' ELSE w END" for old, new in sorted(table.items(), key=lambda x: -len(x[0]))]
+    return f"CASE {' '.join(cases)} ELSE w END"
+
+
+_STEPS = (
+    "CASE WHEN (ends_with(w, 'sses') AND length(w) > 4) OR (ends_with(w, 'ies') AND length(w) > 3) THEN left(w, length(w) - 2) WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, length(w) - 1) ELSE w END",
+    # A cut leaves a mark, which the next step takes away.
+    f"""CASE WHEN ends_with(w, 'eed') AND length(w) > 3 THEN CASE WHEN regexp_matches({_stem_of(3)}, {_ONE}) THEN left(w, length(w) - 1) ELSE w END
+      WHEN ends_with(w, 'ed') AND contains({_stem_of(2)}, 'v') THEN left(w, length(w) - 2) || '|' WHEN ends_with(w, 'ing') AND contains({_stem_of(3)}, 'v') THEN left(w, length(w) - 3) || '|' ELSE w END""",
+    f"""CASE WHEN NOT ends_with(w, '|') THEN w WHEN regexp_matches(w, '(at|bl|iz)[|]$') THEN left(w, length(w) - 1) || 'e'
+      WHEN length(w) > 2 AND w[-2] = w[-3] AND ends_with({_stem_of(1)}, '#') AND w[-2] NOT IN ('l', 's', 'z') THEN left(w, length(w) - 2)
+      WHEN regexp_matches({_stem_of(1)}, {_ONE}) AND NOT regexp_matches({_stem_of(1)}, {_TWO}) AND {_short('left(w, length(w) - 1)', _stem_of(1))} THEN left(w, length(w) - 1) || 'e' ELSE left(w, length(w) - 1) END""",
+    f"CASE WHEN ends_with(w, 'y') AND contains({_stem_of(1)}, 'v') THEN left(w, length(w) - 1) || 'i' ELSE w END",
+    _endings(STEP2, _ONE),
+    _endings(STEP3, _ONE),
+    _endings(dict.fromkeys(STEP4, ""), _TWO, "w[-4] IN ('s', 't')"),
+    f"""CASE WHEN ends_with(w, 'e') AND (regexp_matches({_stem_of(1)}, {_TWO}) OR regexp_matches({_stem_of(1)}, {_ONE}) AND NOT {_short('left(w, length(w) - 1)', _stem_of(1))}) THEN left(w, length(w) - 1) ELSE w END""",
+    f"CASE WHEN ends_with(w, 'll') AND regexp_matches(f, {_TWO}) THEN left(w, length(w) - 1) ELSE w END",
+)
+_STEMS = (
+    "w0 AS (SELECT DISTINCT term, term AS w FROM raw), "
+    + ", ".join(f"w{n + 1} AS (SELECT term, CASE WHEN strlen(term) BETWEEN 3 AND 64 THEN {step} ELSE w END AS w FROM (SELECT term, w, {_form('w')} AS f FROM w{n}))" for n, step in enumerate(_STEPS))
+    + f", k AS (SELECT blob_hash, w AS term, pos FROM raw JOIN w{len(_STEPS)} USING (term))"
+)
+
 _WORDS = [["the"], ["and"], ["that"]]
 _KEYWORD = f"{_BLOBS}, {_CONTENTS}, {_TOKENS}, {_counts(_WORDS)}"
 
@@ -191,6 +236,7 @@ UNION ALL SELECT blob_hash, coalesce(chunks, 0), chunks IS NOT NULL FROM y""",
     "fts_match": f"WITH {_KEYWORD} SELECT blob_hash FROM hit",
     "fts_bm25_nostem": f"WITH {_KEYWORD} SELECT blob_hash, round(bm25, 6) AS bm25 FROM hit",
     "fts_phrase": f"WITH {_BLOBS}, {_CONTENTS}, {_TOKENS}, {_counts([['of', 'the'], ['and']])} SELECT blob_hash, round(bm25, 6) AS bm25 FROM hit",
+    "fts_porter": f"WITH {_BLOBS}, {_CONTENTS}, {_TOKENS.replace('k AS (SELECT', 'raw AS (SELECT')}, {_STEMS}, {_counts([['ing'], ['of', 'the']])} SELECT blob_hash, round(bm25, 6) AS bm25 FROM hit",
     "fts_vocabulary": f"WITH {_BLOBS}, {_CONTENTS}, {_TOKENS} SELECT term, count(DISTINCT blob_hash) AS docs, count(*) AS occurrences FROM k GROUP BY 1",
     # scores
     "minmax_norm": f"SELECT doc_id, round({_min_max('CAST(n_chars AS DOUBLE)', 'PARTITION BY source')}, 6) AS score FROM documents",
