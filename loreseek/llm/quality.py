@@ -127,6 +127,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     size, d = FEATURES + 1, len(STATS)
     truth = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(label).alias("y"))
     train = stats.filter(~is_held_out()).join(truth, "doc_id").select("x", "y")
+    train = Scratch(stats.sparkSession, "training").table(train, "rows")  # read three times
     model = Model(np.zeros(d), np.ones(d), np.zeros(size), np.zeros(1), np.full(1, 0.5))
     moments = train.agg(F.count("*").alias("n"), *[f(F.col("x")[k]).alias(f"{f.__name__}{k}") for k in range(d) for f in (F.avg, F.stddev_pop)]).first()
     if not moments["n"]:
