@@ -141,23 +141,24 @@ def _joined(roots: DataFrame, links: DataFrame, scratch: Scratch, name: str) ->
 def join_alike(each: DataFrame, roots: DataFrame, similarity: float, scratch: Scratch, stars: int = STARS, part: int = PART) -> DataFrame:
     """``roots`` (fp, least, root) with the components joined that hold alike texts of ``each`` (written ``sketches``)."""
     one = scratch.table(each.groupBy("digest").agg(F.min("rid").alias("rid")).select("rid"), "one")
-    bands = scratch.table(each.select("rid", "fp", "keys").join(one, "rid", "left_semi").select("rid", "fp", F.explode("keys").alias("key")), "bands")
     sets = each.select("rid", "shingles")
 
-    def apart(k: int) -> DataFrame:
-        """(key, rid, root, and the pivot's) of the rows of keys that hold texts of several components."""
-        now = bands.join(roots.select("fp", "root"), "fp").select("key", "rid", "root")
+    def apart(now: DataFrame, k: int) -> DataFrame:
+        """(key, rid, fp, root, and the pivot's) of the rows of keys that hold texts of several components."""
         drawn = F.min(F.struct(F.xxhash64("rid", F.lit(k)).alias("order"), "rid", "root")).alias("pivot")
         several = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), drawn).filter("lo < hi").select("key", "pivot")
         return scratch.table(now.join(several, "key"), f"apart-{k}")
 
+    named = lambda rows: rows.join(roots.select("fp", "root"), "fp")
+    bands = named(each.select("rid", "fp", "keys").join(one, "rid", "left_semi")).select("rid", "fp", "root", F.explode("keys").alias("key"))
+    rows = apart(scratch.table(bands, "bands"), 0)
+    scratch.drop("bands")
     for k in range(stars):
-        others = apart(k).filter("root <> pivot.root")
-        pairs = others.groupBy("rid").agg(F.min("pivot").alias("pivot"), F.first("root").alias("root"))
+        pairs = rows.filter("root <> pivot.root").groupBy("rid").agg(F.min("pivot").alias("pivot"), F.first("root").alias("root"))
         pairs = pairs.select(F.col("pivot.rid").alias("a"), F.col("rid").alias("b"), F.col("pivot.root").alias("x"), F.col("root").alias("y"))
         roots = _joined(roots, _alike(scratch.table(pairs, f"pairs-{k}"), sets, similarity), scratch, f"starred-{k}")
+        rows = apart(named(rows.select("key", "rid", "fp")), k + 1)  # components only grow, so no other key comes back
         scratch.drop(f"apart-{k}")
-    rows = apart(stars)
     sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.ceil(F.sum("n") / part).cast("int").alias("parts"))
     rows = rows.select("key", "rid", "root").join(scratch.table(sizes, "sizes"), "key")
     own = F.array(F.struct(F.pmod(F.xxhash64("rid", "key"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("pivot")))
@@ -166,6 +167,5 @@ def join_alike(each: DataFrame, roots: DataFrame, similarity: float, scratch: Sc
     dealt = dealt.join(sets, "rid").select("key", "d.part", "d.pivot", "root", "shingles")
     links = dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(lambda b: _compared(b, similarity), "u long, v long")
     roots = _joined(roots, links, scratch, "joined")
-    for name in (f"apart-{stars}", "bands"):
-        scratch.drop(name)
+    scratch.drop(f"apart-{stars}")
     return roots
