@@ -7,10 +7,13 @@ import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: its shuffle files go with the write, not when the driver next collects garbage,
+#: and batches for Python workers are bounded in bytes, not in rows alone.
+_WRITES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 _local: str | None = None
 _written: list[tuple[SparkSession, str]] = []
@@ -34,6 +37,19 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextlib.contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """The settings of writes, where the session has none of its own."""
+    ours = {k: v for k, v in _WRITES.items() if spark.conf.get(k, None) is None}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k in ours:
+            spark.conf.unset(k)
+
+
 class Scratch:
     """A folder of written tables below the shared folder.
 
@@ -50,13 +66,10 @@ class Scratch:
         _written.append((spark, self.path))
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes a frame and reads it back; the shuffle files of the write are removed with it, not when the driver next collects garbage."""
-        schema, before = df.schema, self.spark.conf.get(_CLEANUP, "false")
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
+        """Writes a frame and reads it back."""
+        schema = df.schema
+        with writing(self.spark):
             df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        finally:
-            self.spark.conf.set(_CLEANUP, before)
         return self.read(name, schema)
 
     def read(self, name: str, schema=None) -> DataFrame:
