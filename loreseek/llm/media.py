@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loreseek.llm.common import pieces
-from loreseek.sources.shared import Scratch
+from loreseek.sources.shared import Scratch, writing
 
 RATE = 8000
 ZSTD, PAGE = 12, 8 << 20  # level and page size of both tables
@@ -173,7 +173,8 @@ _PCM = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, ta
 def _write(df: DataFrame, path: str) -> None:
     # Large pages, as each is compressed alone, and no dictionary of whole files.
     options = {"compression": "zstd", "parquet.compression.codec.zstd.level": ZSTD, "parquet.page.size": PAGE, "parquet.page.row.count.limit": 1_000_000, "parquet.enable.dictionary": "false"}
-    df.write.options(**options).parquet(path)
+    with writing(df.sparkSession):
+        df.write.options(**options).parquet(path)
 
 
 def _batch(rows: list[tuple], shape: str) -> pa.RecordBatch:
@@ -200,7 +201,7 @@ def store_pcm(media: DataFrame, path: str) -> None:
     """Reads a media table and writes, for each row, what its stored bytes are and its decoded and resampled 16-bit PCM."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 4 << 20, "media"):
+        for batch in pieces(batches, 2 << 20, "media"):
             stored = batch.column(2).to_pylist()
             files = [parse(m) for m in stored]
             rows: list[tuple] = []
@@ -236,7 +237,8 @@ def features(pcm: DataFrame) -> DataFrame:
 def through_media(docs: DataFrame) -> DataFrame:
     """Stores the media of ``docs`` (doc_id, text) in the shared folder, then their PCM, and reads that back as features."""
     spark = docs.sparkSession
-    path = Scratch(spark, "media").path
+    scratch = Scratch(spark, "media")
+    path = scratch.path
     store(docs, f"{path}/media")
     store_pcm(spark.read.schema(_MEDIA).parquet(f"{path}/media"), f"{path}/pcm")
-    return features(spark.read.schema(_PCM).parquet(f"{path}/pcm"))
+    return scratch.table(features(spark.read.schema(_PCM).parquet(f"{path}/pcm")), "features")
