@@ -11,9 +11,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Settings while a table is written: its shuffle files go with the write, not when the driver next collects garbage,
-#: and batches for Python workers are bounded in bytes, not in rows alone.
-_WRITES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH = 8 << 20  # bytes of a batch for a Python worker
 
 _local: str | None = None
 _written: list[tuple[SparkSession, str]] = []
@@ -39,15 +39,22 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def writing(spark: SparkSession) -> Iterator[None]:
-    """The settings of writes, where the session has none of its own."""
-    ours = {k: v for k, v in _WRITES.items() if spark.conf.get(k, None) is None}
-    for k, v in ours.items():
-        spark.conf.set(k, v)
+    """While a table is written: its shuffle files go with the write, not when the driver next collects garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
     try:
         yield
     finally:
-        for k in ours:
-            spark.conf.unset(k)
+        spark.conf.set(_CLEANUP, before)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds batches for Python workers in bytes, not in rows alone, where the session has no bound of its own.
+
+    This stays set, as results are computed when their caller reads them.
+    """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH))
 
 
 class Scratch:
@@ -60,6 +67,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        bound_batches(spark)
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         if not _written:
             atexit.register(_at_exit)

@@ -30,17 +30,18 @@ def test_tables_are_written_below_it_and_removed(spark, monkeypatch):
     scratch = shared.Scratch(spark, "test")
     assert scratch.path.startswith(spark.conf.get("spark.checkpoint.dir"))
     table = scratch.table(spark.range(5).repartition(3), "five")
-    assert table.count() == 5 and all(spark.conf.get(k, None) is None for k in shared._WRITES)
+    assert table.count() == 5 and spark.conf.get(shared._CLEANUP) == "false"
     assert shared.clean(spark) == 1
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         scratch.read("five").count()
 
 
-def test_batches_of_writes_are_bounded_in_bytes(spark):
+def test_batches_are_bounded_in_bytes(spark):
     def sizes(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
 
     rows = spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 20000) AS t")
-    found = [r["n"] for r in shared.Scratch(spark, "test").table(rows.mapInArrow(sizes, "n long"), "sizes").collect()]
+    shared.bound_batches(spark)
+    found = [r["n"] for r in rows.mapInArrow(sizes, "n long").collect()]
     assert sum(found) == 3000 and max(found) < 500
