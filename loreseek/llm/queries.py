@@ -72,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_mix_to_target_weights": mixing.MIX_SQL,
+    "op5_secret_scan": secrets.SECRETS_SQL,
     "op7_warc_capture_index": warc.WARC_SQL,
     "op8_suffix_array_dedup": substrings.REPEATS_SQL,
     "op9_exact_top_k": topk.TOPK_SQL,

@@ -10,7 +10,9 @@ letter and one digit (kind entropy_text). A window of ``WINDOW`` characters
 slides over it; as a character enters and another leaves, two counts change,
 and the sum of n log2 n is carried along. A candidate is reported if the
 highest entropy of a window reaches its class's threshold, unless the allow
-list knows it: UUIDs, digests of nothing, alphabets, documented example keys.
+list knows it. Known wholes (UUIDs, digests of nothing, a documented example
+key) suppress a candidate; known words (alphabets, "example") suppress only the
+windows that touch them, so what stands beside such a word is still examined.
 
 Defined results: a null text counts as empty and has no spans; repeated rows
 are returned once each; an empty table gives an empty result; other columns
@@ -34,11 +36,13 @@ PART = 512  # matches that are placed at once
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_text")
 THRESHOLDS = {"entropy_hex": 3.0, "entropy_text": 3.7}
-ALLOWED = (
+# Fixed values of the allow list: whole candidates, and words within them.
+KNOWN = (
     r"^(?:[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}"  # UUID
     r"|da39a3ee5e6b4b0d3255bfef95601890afd80709|d41d8cd98f00b204e9800998ecf8427e|e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
-    r"|.*(?:abcdefghijklmnopqrstuvwxyz|ABCDEFGHIJKLMNOPQRSTUVWXYZ|0123456789abcdef|1234567890123456|EXAMPLE|example|placeholder).*)$"
+    r"|wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY)$"
 )
+KNOWN_WORDS = "abcdefghijklmnopqrstuvwxyz|ABCDEFGHIJKLMNOPQRSTUVWXYZ|0123456789abcdef|1234567890123456|EXAMPLE|example|placeholder"
 
 _ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -116,10 +120,16 @@ def highest_entropy(candidate: Column, window: int = WINDOW) -> Column:
 
 def _entropy_spans(text: Column) -> Column:
     hexadecimal = lambda x: x["found"].rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$")
-    mixed = lambda x: x["found"].rlike("[A-Za-z]") & x["found"].rlike("[0-9]")
-    likely = lambda x: F.when(x["found"].rlike(ALLOWED) | ~(hexadecimal(x) | mixed(x)), F.lit(False)).otherwise(
-        F.round(highest_entropy(x["found"]), 9) >= F.when(hexadecimal(x), F.lit(THRESHOLDS["entropy_hex"])).otherwise(F.lit(THRESHOLDS["entropy_text"]))
-    )
+
+    def likely(x: Column) -> Column:
+        least = F.when(hexadecimal(x), F.lit(THRESHOLDS["entropy_hex"])).otherwise(F.lit(THRESHOLDS["entropy_text"]))
+
+        def reaches(piece: Column) -> Column:
+            telling = (F.length(piece) >= WINDOW) & (hexadecimal(x) | (piece.rlike("[A-Za-z]") & piece.rlike("[0-9]")))
+            return F.when(telling, F.round(highest_entropy(piece), 9) >= least).otherwise(F.lit(False))
+
+        return F.when(x["found"].rlike(KNOWN), F.lit(False)).otherwise(F.exists(F.split(x["found"], KNOWN_WORDS, -1), reaches))
+
     return F.transform(F.filter(_located(text, CANDIDATE), likely), lambda x: _span(x, F.when(hexadecimal(x), F.lit(3)).otherwise(F.lit(4))))
 
 
@@ -146,3 +156,48 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         F.sha2(_joined(F.sort_array(base)), 256).alias("base_sha256"),
         _joined(F.sort_array(F.concat(base, "entropy"))).alias("spans"),
     )
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+#: DuckDB's case folding knows letters outside ASCII, so both cases are written out.
+_ASSIGN_SQL = ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)", "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key")))).replace("'", "''")
+
+
+def _located_sql(pattern: str) -> str:
+    """Rows (r, start, stop, found) of a pattern's matches in the table ``d`` (r, text)."""
+    return f"""(
+        SELECT r, found, sum(gap + length(found)) OVER (PARTITION BY r ORDER BY k) AS stop, stop - length(found) AS start
+        FROM (SELECT r, unnest(range(len(f))) AS k, unnest(f) AS found, unnest(list_transform(g, lambda x: length(x))[:len(f)]) AS gap
+              FROM (SELECT r, regexp_extract_all(text, '{pattern}') AS f, string_split_regex(text, '{pattern}') AS g FROM d) WHERE len(f) > 0))"""
+
+
+SECRETS_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+candidates AS (SELECT row_number() OVER () AS c, *, regexp_full_match(found, '[0-9a-f]+|[0-9A-F]+') AS hexadecimal
+               FROM {_located_sql(CANDIDATE)} WHERE NOT regexp_matches(found, '{KNOWN}')),
+parts AS (SELECT c, hexadecimal, row_number() OVER () AS p, piece
+          FROM (SELECT c, hexadecimal, unnest(string_split_regex(found, '{KNOWN_WORDS}')) AS piece FROM candidates)
+          WHERE length(piece) >= {WINDOW} AND (hexadecimal OR (regexp_matches(piece, '[A-Za-z]') AND regexp_matches(piece, '[0-9]')))),
+windows AS (SELECT c, p, k, unnest(string_split(substr(piece, k, {WINDOW}), '')) AS letter
+            FROM (SELECT c, p, piece, unnest(range(1, length(piece) - {WINDOW} + 2)) AS k FROM parts)),
+entropies AS (SELECT c, p, k, log2({WINDOW}) - sum(n * log2(n)) / {WINDOW} AS bits
+              FROM (SELECT c, p, k, letter, count(*) AS n FROM windows GROUP BY ALL) GROUP BY ALL),
+highest AS (SELECT c, round(max(bits), 9) AS bits FROM entropies GROUP BY c),
+spans AS (
+    SELECT r, start, 0 AS kind, stop FROM {_located_sql(_ASSIGN_SQL)} WHERE length(regexp_extract(found, '{_ASSIGN_SQL}', 2)) >= 6
+    UNION ALL SELECT r, start, 1, stop FROM {_located_sql(ACCESS)}
+    UNION ALL SELECT r, start, 2, stop FROM {_located_sql(HEX)}
+    UNION ALL SELECT r, start, CASE WHEN hexadecimal THEN 3 ELSE 4 END, stop FROM candidates JOIN highest USING (c)
+        WHERE bits >= CASE WHEN hexadecimal THEN {THRESHOLDS["entropy_hex"]} ELSE {THRESHOLDS["entropy_text"]} END),
+named AS (SELECT *, ['{"', '".join(KINDS)}'][kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT AS name FROM spans),
+joined AS (
+    SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+        string_agg(name, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(name, ',' ORDER BY start, kind) AS spans
+    FROM named GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN joined USING (r)
+"""

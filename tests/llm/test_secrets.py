@@ -32,10 +32,10 @@ def added(text: str) -> list[tuple[int, int, int]]:
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
         run = m.group()
         hexadecimal = bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run))
-        mixed = bool(re.search("[A-Za-z]", run) and re.search("[0-9]", run))
-        if re.search(secrets.ALLOWED, run) or not (hexadecimal or mixed):
+        parts = [p for p in re.split(secrets.KNOWN_WORDS, run) if len(p) >= 20 and (hexadecimal or (re.search("[A-Za-z]", p) and re.search("[0-9]", p)))]
+        if re.search(secrets.KNOWN, run) or not parts:
             continue
-        highest = max(entropy(run[k : k + 20]) for k in range(len(run) - 19))
+        highest = max(entropy(p[k : k + 20]) for p in parts for k in range(len(p) - 19))
         if round(highest, 9) >= secrets.THRESHOLDS["entropy_hex" if hexadecimal else "entropy_text"]:
             out.append((m.start(), 3 if hexadecimal else 4, m.end()))
     return out
@@ -57,6 +57,7 @@ TEXTS = [
     "da39a3ee5e6b4b0d3255bfef95601890afd80709 123e4567-e89b-12d3-a456-426614174000",
     "toKen=x\npassword\n=abcdefgh password=\nabcdefgh secret \t= abcdefgh",
     "ſecret=abcdef toKen=abcdef",  # letters outside ASCII don't fold
+    "conf/example/db_key=9fK3xQ7vLm2Zp8Rt4Wy6 placeholder-9fK3xQ7vLm2Zp8 EXAMPLE0123456789abcdefEXAMPLE",
     "password=" + "a" * 5000 + " " + "Zz9-" * 3000,
     "",
 ]
@@ -80,6 +81,15 @@ def test_allow_list_suppresses(found):
     assert "entropy" not in found[8]["spans"] and "entropy_text" in found[6]["spans"]
 
 
+def test_known_words_suppress_only_the_windows_that_touch_them(found):
+    assert found[11]["spans"].count("entropy") == 1 and found[11]["spans"].endswith("entropy_text:0:40")
+
+
+def test_sql(make_docs, same_in_duckdb):
+    docs = make_docs([(k, t, "en", "a", 0) for k, t in enumerate([*TEXTS, None, TEXTS[0]])])
+    same_in_duckdb(secrets.find_secrets(docs), secrets.SECRETS_SQL, documents=docs)
+
+
 def test_highest_entropy_of_a_long_candidate(spark):
     run = "".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(3000))
     df = spark.createDataFrame([(run,), (run[:20],), ("ab" * 10,), ("é" * 10 + run[:15],)], "c string")
