@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ from loreseek.sources.shared import Scratch
 FEATURES = 256
 RIDGE = 1e-3  # times the number of rows
 BINS = 1000
+TREE = 256  # tasks whose sums are added first, before the sums of such groups
 _LOW, _HIGH = -0.5, 1.5  # raw scores beyond are counted in the outer bins
 
 STATS = (
@@ -143,13 +145,15 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
                 z = model.features(np.stack(part["x"].to_numpy()))
                 total += z.T @ np.hstack([z, part["y"].to_numpy()[:, None]])
         if total.any():
-            yield pd.DataFrame({"i": np.arange(size), "row": list(total)})
+            yield pd.DataFrame({"i": np.arange(size), "part": TaskContext.get().partitionId(), "row": list(total)})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": rows["i"].iloc[:1], "row": [np.stack(rows["row"].to_numpy()).sum(axis=0)]})
+        rows = rows.sort_values("part")  # the same sums in each run
+        return pd.DataFrame({"i": rows["i"].iloc[:1], "part": rows["part"].iloc[:1], "row": [np.stack(rows["row"].to_numpy()).sum(axis=0)]})
 
-    shape = "i int, row array<double>"
-    rows = train.mapInPandas(sums, shape).groupBy("i").applyInPandas(add, shape).orderBy("i").collect()
+    shape = "i int, part int, row array<double>"
+    branches = train.mapInPandas(sums, shape).groupBy("i", F.floor(F.col("part") / TREE)).applyInPandas(add, shape)
+    rows = branches.groupBy("i").applyInPandas(add, shape).orderBy("i").collect()
     total = np.array([r["row"] for r in rows])
     penalty = RIDGE * moments["n"] * np.eye(size)
     penalty[-1, -1] = 0
