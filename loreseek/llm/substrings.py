@@ -55,9 +55,10 @@ from loreseek.sources.shared import Scratch
 
 WIDTH = 100
 GRAM = 32
-SEGMENT = 4 << 20  # bytes that are hashed at once
+SEGMENT = 1 << 20  # bytes that are hashed at once; temporaries take dozens of times that
 HELD = 1 << 20  # records of a task that are combined at once
 BLOCK = 32768  # texts that are sorted at once
+SLICE = 2048  # texts whose bytes are gathered at once
 
 _RECORD = "h long, c long, doc long, at long"
 #: ``at`` is the first window << 16, the sample's distance from it << 8, and the number of windows.
@@ -160,10 +161,14 @@ def _batch(h, c, doc, at) -> pa.RecordBatch:
 
 
 def _combined(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """One record for each (h, c), the earliest; the others are settled and dealt by document."""
-    h, c, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((at, doc, c, h))
-    h, c, doc, at = h[order], c[order], doc[order], at[order]
+    """One record for each (h, c), the earliest; the others are settled and dealt by document. Empties ``parts``, so that records are held once."""
+    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    parts.clear()
+    order = np.lexsort(columns[::-1])
+    for k in range(len(columns)):
+        columns[k] = columns[k][order]
+    h, c, doc, at = columns
+    del columns, order
     follows = np.zeros(len(h), bool)
     follows[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
     at = np.where(follows, at | _FOLLOWS, at)
@@ -177,9 +182,10 @@ def _collected(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBat
     for part in parts:
         held.append(part)
         many += len(part[0])
+        del part
         if many >= HELD:
             yield from _combined(held)
-            held, many = [], 0
+            many = 0
     if many:
         yield from _combined(held)
 
@@ -248,10 +254,13 @@ def repeated_windows(bucket: np.ndarray, away: np.ndarray, many: np.ndarray, tex
     flat = np.frombuffer(b"".join(texts), np.uint8)
     begin = np.cumsum([0, *map(len, texts)])[:-1]
     size = many - 1 + width
-    place = away[:, None] + np.arange(width)  # from the sample on
-    right = np.where(place < size[:, None], flat[np.minimum(begin[:, None] + place, len(flat) - 1)], 0).astype(np.uint8)
-    place = away[:, None] - 1 - np.arange(reach)  # backwards from the sample
-    left = np.where(place >= 0, flat[np.maximum(begin[:, None] + place, 0)], 0).astype(np.uint8)
+    right, left = np.empty((len(texts), width), np.uint8), np.empty((len(texts), reach), np.uint8)
+    for k in range(0, len(texts), SLICE):  # places take eight times the bytes
+        rows = slice(k, k + SLICE)
+        place = away[rows, None] + np.arange(width)  # from the sample on
+        right[rows] = np.where(place < size[rows, None], flat[np.minimum(begin[rows, None] + place, len(flat) - 1)], 0)
+        place = away[rows, None] - 1 - np.arange(reach)  # backwards from the sample
+        left[rows] = np.where(place >= 0, flat[np.maximum(begin[rows, None] + place, 0)], 0)
     (right_order, right_common), (left_order, left_common) = _ranked(bucket, right), _ranked(bucket, left)
     out = np.zeros((len(texts), reach + 1), bool)
     left_rank, right_rank = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)

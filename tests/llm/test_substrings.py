@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,6 +109,28 @@ def test_long_texts_are_cut_into_segments(make_docs, monkeypatch):
     assert [w for w, _ in windows(whole)] == [w for w, _ in windows(parts)] and len(windows(whole)) == sum(len(t) - 99 for t in texts)
 
 
+def traced_mb(run) -> float:
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_worker_is_bounded():
+    """Two workers share an executor with its JVM, and keep much of what they once needed."""
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, 2000, dtype=np.uint8)).decode() for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000), pa.int64()), pa.array(texts)], names=["doc", "text"])
+    assert traced_mb(lambda: [b.num_rows for b in substrings._records(iter([batch]), 100, 32)]) < 120
+    n = 42000
+    names = np.sort(rng.integers(0, n // 4, n))
+    around = pa.array([bytes(rng.integers(97, 99, 150, dtype=np.uint8)) for _ in range(n)], pa.binary())
+    rows = pa.table({"h": names, "doc": np.arange(n), "at": np.full(n, 30 << 8 | 51), "text": around}).to_batches(max_chunksize=10000)
+    assert traced_mb(lambda: [b.num_rows for b in substrings._blocks(iter(rows), 100, 32)]) < 90
+
+
 def test_edges(edges, nothing):
     rows = substrings.remove_repeats(edges).collect()
     assert len(rows) == len(edge_rows())
