@@ -56,6 +56,8 @@ def pieces(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text")
 
 #: Rows of one key that a join may bring to one task.
 HOT = 100_000
+#: Links that one task may hold; more are contracted by many tasks first.
+LOCAL = 1 << 18
 
 
 def join_hot(rows: DataFrame, one: DataFrame, key: str, hot: int = HOT) -> DataFrame:
@@ -71,18 +73,36 @@ def join_hot(rows: DataFrame, one: DataFrame, key: str, hot: int = HOT) -> DataF
     return rows.join(F.broadcast(often), key).unionByName(rest)
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, hot: int = HOT) -> DataFrame:
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) from all links: each root is hung below the smallest root that it has a link to, until none has one."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not held:
+        return
+    nodes, places = np.unique(np.concatenate([*(u for u, _ in held), *(v for _, v in held)]), return_inverse=True)
+    u, v = places.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while (apart := root[u] != root[v]).any():
+        u, v = root[u[apart]], root[v[apart]]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while ((after := root[root]) != root).any():
+            root = after
+    for at in range(0, len(nodes), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + (1 << 16)]), pa.array(nodes[root[at : at + (1 << 16)]])], names=["node", "root"])
+
+
+def connected_components(edges: DataFrame, scratch: Scratch, hot: int = HOT, local: int = LOCAL) -> DataFrame:
     """(node, root) of every node of ``edges`` (u long, v long); root is the smallest node reachable.
 
-    Alternating large-star and small-star contraction: each round is two
+    Up to ``local`` links are finished by one task, without further tables.
+    More of them go through alternating large-star and small-star contraction: each round is two
     aggregations with map-side combine and two joins, in which the links of a
     node that has very many stay in their tasks (``join_hot``), so no task
     gathers a component, and the driver holds no links. Rounds grow with the
     logarithm of the longest chain.
     """
     now = scratch.table(_ordered(edges), "edges-0")
-    before, rounds = None, 0
-    while True:
+    many, before, rounds = now.count(), None, 0
+    while many > local:
         rounds += 1
         both = scratch.table(now.union(now.select("v", "u")), f"both-{rounds}")
         low = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), f"low-{rounds}")
@@ -96,9 +116,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, hot: int = HOT) ->
             scratch.drop(old)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
-            break
-        before = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        many, before = state[0], state
+    return now.coalesce(1).mapInArrow(_finished, "node long, root long")
 
 
 def _ordered(edges: DataFrame) -> DataFrame:

@@ -144,17 +144,18 @@ def join_alike(each: DataFrame, roots: DataFrame, similarity: float, scratch: Sc
     sets = each.select("rid", "shingles")
 
     def apart(now: DataFrame, k: int) -> DataFrame:
-        """(key, rid, fp, root, and the pivot's) of the rows of keys that hold texts of several components."""
-        drawn = F.min(F.struct(F.xxhash64("rid", F.lit(k)).alias("order"), "rid", "root")).alias("pivot")
-        several = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), drawn).filter("lo < hi").select("key", "pivot")
-        return scratch.table(now.join(several, "key"), f"apart-{k}")
+        """The rows (key, rid, fp, root) of keys that hold texts of several components."""
+        several = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+        return scratch.table(now.join(several, "key", "left_semi"), f"apart-{k}")
 
     named = lambda rows: rows.join(roots.select("fp", "root"), "fp")
     bands = named(each.select("rid", "fp", "keys").join(one, "rid", "left_semi")).select("rid", "fp", "root", F.explode("keys").alias("key"))
     rows = apart(scratch.table(bands, "bands"), 0)
     scratch.drop("bands")
+    sets = scratch.table(sets.join(rows.select("rid").distinct(), "rid", "left_semi"), "sets")  # of the few texts still to compare
     for k in range(stars):
-        pairs = rows.filter("root <> pivot.root").groupBy("rid").agg(F.min("pivot").alias("pivot"), F.first("root").alias("root"))
+        drawn = F.min(F.struct(F.xxhash64("rid", F.lit(k)).alias("order"), "rid", "root")).alias("pivot")
+        pairs = rows.join(rows.groupBy("key").agg(drawn), "key").filter("root <> pivot.root").groupBy("rid").agg(F.min("pivot").alias("pivot"), F.first("root").alias("root"))
         pairs = pairs.select(F.col("pivot.rid").alias("a"), F.col("rid").alias("b"), F.col("pivot.root").alias("x"), F.col("root").alias("y"))
         roots = _joined(roots, _alike(scratch.table(pairs, f"pairs-{k}"), sets, similarity), scratch, f"starred-{k}")
         rows = apart(named(rows.select("key", "rid", "fp")), k + 1)  # components only grow, so no other key comes back
@@ -168,4 +169,5 @@ def join_alike(each: DataFrame, roots: DataFrame, similarity: float, scratch: Sc
     links = dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(lambda b: _compared(b, similarity), "u long, v long")
     roots = _joined(roots, links, scratch, "joined")
     scratch.drop(f"apart-{stars}")
+    scratch.drop("sets")
     return roots

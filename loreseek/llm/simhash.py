@@ -8,7 +8,8 @@ blocks. A key's fingerprints are sorted by population count and cut into tiles;
 tile is compared with tile by numpy exclusive-or and bit counts, and pairs of
 tiles whose population counts lie further apart than the radius are skipped.
 Small keys share a tile. A tile pair emits a spanning forest of its links, never
-all pairs; connected components follow by distributed star contraction.
+all pairs; connected components follow by distributed star contraction, which
+one task finishes once few links are left.
 
 Keys with more than ``SPLIT`` fingerprints are dealt anew under four blocks of
 12 of the other bits (the same principle), and what is still larger is cut into

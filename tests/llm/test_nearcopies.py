@@ -7,6 +7,7 @@ import functools
 import corpus_pipeline
 import pytest
 from loreseek.llm import nearcopies, simhash
+from loreseek.sources.shared import Scratch
 from tests.llm.conftest import edge_rows, prose
 from tests.llm.test_simhash import groups, naive
 
@@ -53,6 +54,21 @@ def test_stage_drops_all_alike_texts(spark, make_docs, monkeypatch, limits):
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == sorted(set(label))
 
 
+def test_stage_writes_few_tables_and_compares_few_sets(spark, make_docs, monkeypatch):
+    written, whole = {}, Scratch.table
+
+    def table(self, df, name):
+        out = whole(self, df, name)
+        written.setdefault(name, []).append(out.count() if name in ("sets", "one") else None)
+        return out
+
+    monkeypatch.setattr(Scratch, "table", table)
+    texts = [*changed(), *(prose(250, 2000 + k) for k in range(200))]  # the last are like no other
+    corpus_pipeline.drop_near_duplicates(spark, make_docs([(k, t, "en", "a", 0) for k, t in enumerate(texts)]), "").collect()
+    assert sum(map(len, written.values())) <= 30
+    assert 0 < written["sets"][0] <= written["one"][0] - 200
+
+
 def test_large_group_of_near_copies(make_docs):
     words = prose(200, 5).split()
     texts = [" ".join([*words[: k % 190], f"v{k}", *words[k % 190 + 1 :]]) for k in range(300)]

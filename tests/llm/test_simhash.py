@@ -136,6 +136,21 @@ def test_connected_components(spark, hot):
     assert roots == {**{k: 0 for k in range(201)}, **{1000 + k: 1000 for k in range(51) if k < 50}}
 
 
+@pytest.mark.parametrize(("hot", "local"), [(3, 0), (100_000, 0), (3, 60), (100_000, 1 << 18)])
+def test_connected_components_in_one_task_or_many(spark, hot, local):
+    """A limit of 0 leaves all to contraction, one of 60 is met between the rounds."""
+    rng = np.random.default_rng(8)
+    links = [(int(u) - 150, int(v) - 150) for u, v in rng.integers(0, 300, (160, 2))] + [(1000 + k, 1001 + k) for k in range(100)] + [(2000 - k, 2000) for k in range(70)]
+    first = {x: x for link in links for x in link if link[0] != link[1]}
+    while any(first[u] != first[v] for u, v in links if u != v):
+        for u, v in links:
+            if u != v:
+                first[u] = first[v] = min(first[u], first[v])
+    found = connected_components(spark.createDataFrame(links, "u long, v long"), Scratch(spark, "test"), hot, local).collect()
+    assert len(found) == len(first) and {r["node"]: r["root"] for r in found} == first
+    assert connected_components(spark.createDataFrame([(5, 5)], "u long, v long"), Scratch(spark, "test"), hot, local).count() == 0
+
+
 def test_edges(edges):
     found = simhash.near_duplicates(edges).collect()
     assert len(found) == len(edge_rows())
