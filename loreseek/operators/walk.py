@@ -10,52 +10,100 @@ from pyspark.sql import functions as F
 from loreseek.sources.shared import Scratch
 
 
-def reachable(edges: DataFrame, tips: DataFrame) -> DataFrame:
-    """(commit) reachable from ``tips`` (commit) over ``edges`` (child, parent[, ordinal]).
+#: Rows that are broadcast to meet a table; more of them are sorted and merged, so the driver holds no part of a history.
+FEW = 10_000
+
+
+def _held(rows: DataFrame, many: int) -> DataFrame:
+    return F.broadcast(rows) if many <= FEW else rows.hint("merge")
+
 
-    One parent of each commit (that of the least ordinal, else the least) makes a forest, whose ancestor links are
-    doubled: link k leads 2**k commits back. A round takes all forest ancestors of what is new with one join
-    a link, then crosses to the other parents. So the number of steps follows the logarithm of the generations
-    and how deep branches are nested, and each commit is found once. Every step is a written table.
+class _Walks:
+    """Walks over one history, each without what those before it found.
+
+    One parent of each commit (that of the least ordinal, else the least) makes a forest, whose links are doubled:
+    link k leads 2**k commits back. A round takes link after link: with all ancestors less than 2**k commits back,
+    link k gives those less than twice as far. It ends where a link leads to nothing new, as at a root or in a circle;
+    then the walk crosses to the other parents. So the number of steps follows the logarithm of the generations and
+    how deep branches are nested, and each commit is found once. Every step is a written table of at most two joins.
     """
-    scratch = Scratch(edges.sparkSession, "walk")
-    known = edges.filter("child is not null and parent is not null")
-    first = F.min(F.struct("ordinal", "parent")).getField("parent") if "ordinal" in edges.columns else F.min("parent")
-    forest = scratch.table(known.groupBy("child").agg(first.alias("up")), "link-0")
-    rest = known.join(forest, (known.child == forest.child) & (known.parent == forest.up), "left_anti").select("child", "parent").distinct()
-    rest = scratch.table(rest, "rest")
-    links, most = [forest], forest.count()
-    while 1 << len(links) <= most:
-        last = links[-1]
-        longer = last.select("child", F.col("up").alias("by")).join(last.select(F.col("child").alias("by"), "up"), "by").select("child", "up")
-        longer = scratch.table(longer, f"link-{len(links)}")
-        if longer.isEmpty():
-            break
-        links.append(longer)
-
-    def with_ancestors(commits: DataFrame) -> DataFrame:
-        for link in reversed(links):
-            both = commits.join(link, F.col("commit") == F.col("child"), "left").select(F.explode(F.array("commit", "up")).alias("commit"))
-            commits = both.filter("commit is not null").distinct()
-        return commits
-
-    step = 0
-    parts = [scratch.table(with_ancestors(tips.select("commit").filter("commit is not null").distinct()), "found-0")]
-    while True:
-        step += 1
-        found = reduce(DataFrame.union, parts)
-        across = parts[-1].join(rest, F.col("commit") == F.col("child")).select(F.col("parent").alias("commit")).distinct()
-        fresh = scratch.table(across.join(found, "commit", "left_anti"), f"across-{step}")
-        if fresh.isEmpty():
-            return found
-        parts.append(scratch.table(with_ancestors(fresh).join(found, "commit", "left_anti"), f"found-{step}"))
-        if len(parts) == 16:
-            parts = [scratch.table(reduce(DataFrame.union, parts[:-1]), f"merged-{step}"), parts[-1]]
+
+    def __init__(self, edges: DataFrame) -> None:
+        self.scratch = Scratch(edges.sparkSession, "walk")
+        known = edges.filter("child is not null and parent is not null and child <> parent")
+        first = F.min(F.struct("ordinal", "parent")).getField("parent") if "ordinal" in edges.columns else F.min("parent")
+        forest = self.scratch.table(known.groupBy("child").agg(first.alias("up")), "link-0")
+        rest = known.join(forest.hint("merge"), (known.child == forest.child) & (known.parent == forest.up), "left_anti").select("child", "parent").distinct()
+        self.rest = self.scratch.table(rest, "rest")
+        self.straight, self.links, self.before = self.rest.isEmpty(), [forest], {}
+        self.schema = forest.select(F.col("up").alias("commit")).schema
+
+    def _link(self, k: int) -> DataFrame:
+        if k == len(self.links):
+            last = self.links[-1]
+            longer = last.select("child", F.col("up").alias("by")).join(last.select(F.col("child").alias("by"), "up").hint("merge"), "by").select("child", "up")
+            self.links.append(self.scratch.table(longer, f"link-{k}"))
+        return self.links[k]
+
+    def _read(self, parts: dict[str, int]) -> DataFrame:
+        """Several tables by one scan."""
+        return self.scratch.spark.read.schema(self.schema).parquet(*(f"{self.scratch.path}/{name}" for name in parts))
+
+    def walk(self, tips: DataFrame) -> DataFrame:
+        """(commit) of ``tips`` (commit) and all that they lead to."""
+        no, rounds, steps = len(self.before), 0, 0
+        found: dict[str, int] = {}  # rows of each table
+        now: dict[str, int] = {}  # those of this round
+
+        def add(commits: DataFrame) -> int:
+            nonlocal steps
+            steps += 1
+            name, seen = f"found-{no}-{steps}", self.before | found
+            if seen:
+                commits = commits.join(_held(self._read(seen), sum(seen.values())), "commit", "left_anti")
+            many = self.scratch.table(commits, name).count()
+            if many or not found:
+                found[name] = now[name] = many
+            return many
+
+        fresh = tips.select(F.col("commit").cast(self.schema["commit"].dataType).alias("commit")).filter("commit is not null").distinct()
+        while add(fresh):
+            k, more = 0, 1
+            while more:
+                met = self._link(k).join(_held(self._read(now), sum(now.values())), F.col("child") == F.col("commit"))
+                k, more = k + 1, add(met.select(F.col("up").alias("commit")).distinct())
+            if self.straight:
+                break
+            across = self.rest.join(_held(self._read(now), sum(now.values())), F.col("child") == F.col("commit"))
+            fresh, rounds = across.select(F.col("parent").alias("commit")).distinct(), rounds + 1
+            if len(found) > 30:
+                merged = f"merged-{no}-{rounds}"
+                self.scratch.table(self._read(found), merged)
+                found = {merged: sum(found.values())}
+            now = {}
+        self.before |= found
+        return self._read(found)
+
+    def end(self) -> None:
+        for name in ("rest", *(f"link-{k}" for k in range(len(self.links)))):
+            self.scratch.drop(name)
+
+
+def reachable(edges: DataFrame, tips: DataFrame) -> DataFrame:
+    """(commit) reachable from ``tips`` (commit) over ``edges`` (child, parent[, ordinal])."""
+    walks = _Walks(edges)
+    found = walks.walk(tips)
+    walks.end()
+    return found
 
 
 def commit_range(edges: DataFrame, ref: DataFrame, since: DataFrame) -> DataFrame:
-    """Commits reachable from ``ref`` and not from ``since``."""
-    return reachable(edges, ref).join(reachable(edges, since), "commit", "left_anti")
+    """Commits reachable from ``ref`` and not from ``since``: all parents of the latter are among them, so no way to the others leads through them."""
+    walks = _Walks(edges)
+    walks.walk(since)
+    found = walks.walk(ref)
+    walks.end()
+    return found
 
 
 def count_windows(rows: DataFrame, order: Column, n: int, within: list[str] | None = None) -> DataFrame:

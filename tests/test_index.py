@@ -13,6 +13,7 @@ from loreseek.plans.index import Cancelled, Coverage, GitRepository, HistoryInde
 from loreseek.plans.search import over_fetch
 from loreseek.schemas import COMMITS
 from loreseek.sources.cases import read_cases
+from loreseek.sources.shared import Scratch
 from loreseek.sources.store import Store
 from loreseek.streaming.follow import follow
 from tests.test_git import Repo
@@ -264,6 +265,34 @@ def test_walk_of_a_long_chain_with_side_branches(spark):
     assert walk.commit_range(chain.union(side), tip, spark.createDataFrame([("49900",)], "commit string")).count() == 99
 
 
+def test_walk_keeps_the_driver_small(spark, monkeypatch):
+    """However long a history is, a step joins two tables at most and broadcasts none of the history; links stop where nothing new comes, as at a root that is its own parent."""
+    plans, put = [], Scratch.table
+
+    def table(self, df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return put(self, df, name)
+
+    monkeypatch.setattr(Scratch, "table", table)
+    n = 50_000
+    row = spark.range(n).selectExpr("id child", "greatest(id - 1, 0) parent")
+    tree = spark.range(n).selectExpr("id child", "id div 2 parent")
+    tip, since = (spark.createDataFrame([(x,)], "commit long") for x in (n - 1, n // 16))
+    assert walk.reachable(row, tip).count() == n
+    assert sum(name.startswith("link") for name, _ in plans) == 17
+    assert walk.reachable(row, spark.createDataFrame([(5,)], "commit long")).count() == 6
+    assert {r[0] for r in walk.commit_range(tree, tip, since).collect()} == {49_999, 24_999, 12_499, 6_249, 3_124} - {n // 16}
+    assert walk.commit_range(tree, tip, tip).count() == walk.reachable(tree, tip.filter("commit < 0")).count() == 0
+    circle = spark.createDataFrame([(k, (k + 1) % 7) for k in range(7)] + [(9, 3)], "child long, parent long")
+    assert walk.reachable(circle, spark.createDataFrame([(9,)], "commit int")).count() == 8
+    for name, plan in plans:
+        plan = plan.split("== Initial Plan ==")[0]
+        joins = [line for line in plan.splitlines() if "Join" in line]
+        assert len(joins) <= 2, name
+        if name.startswith(("link", "rest")):
+            assert all("SortMergeJoin" in line for line in joins), name
+
+
 def test_over_fetch():
     assert over_fetch(10) == 50 and over_fetch(100) == 300
 
