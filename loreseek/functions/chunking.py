@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +12,8 @@ from loreseek.functions.text import end_line
 from loreseek.schemas import CHUNKS
 
 WINDOW, OVERLAP = 1500, 200
+PIECE = 1 << 20
+_ARROW = pa.list_(pa.struct([("content", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("strategy", pa.string()), ("symbol", pa.string())]))
 
 
 class Chunker(Protocol):
@@ -68,12 +70,24 @@ def file_chunks(text: Column) -> Column:
     return F.array(F.struct(text.alias("content"), F.lit(1).alias("start_line"), end_line(text).alias("end_line"), F.lit("file").alias("strategy"), F.lit(None).cast("string").alias("symbol")))
 
 
+def cut(texts: pa.Array, chunker: Chunker) -> pa.Array:
+    """The chunks of each text. What has been cut becomes Arrow's after each ``PIECE`` characters, so Python holds a text and a piece, not a batch."""
+    done, each, held = [], [], 0
+    for text in texts:
+        each.append(chunker.chunk(text.as_py(), "") if text.is_valid else [])
+        held += sum(len(c[0]) for c in each[-1])
+        if held >= PIECE:
+            done.append(pa.array(each, _ARROW))
+            each, held = [], 0
+    return pa.concat_arrays([*done, pa.array(each, _ARROW)])
+
+
 def chunks(text: Column, chunker: Chunker | None = None) -> Column:
-    """array of chunks of a chunker, by Arrow batches; a null text has none. Lines carry over, so this is no window function."""
+    """array of chunks of a chunker, by Arrow batches (see ``bound_batches``); a null text has none. Lines carry over, so this is no window function."""
     chunker = chunker or FixedChunker()
 
-    @F.pandas_udf(CHUNKS)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else chunker.chunk(t, ""))
+    @F.arrow_udf(CHUNKS)
+    def run(texts: pa.Array) -> pa.Array:
+        return cut(texts, chunker)
 
     return run(text)

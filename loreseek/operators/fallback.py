@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loreseek.functions.chunking import OVERLAP, Chunker, FixedChunker, chunks
 from loreseek.functions.embedding import CONTEXT, Provider, embed
 from loreseek.schemas import WHOLE_FILE
+from loreseek.sources.shared import bound_batches
 
 SIZES = (1500, 800)
 Keep = Callable[[DataFrame, str], DataFrame]
@@ -26,6 +27,7 @@ def embed_with_fallback(texts: DataFrame, provider: Provider, keep: Keep, batch_
     vectors: blob_hash, chunk_index (-1: whole text), vector. failed: blob_hash, error. ``keep`` writes a frame
     under a name and reads it back. A chunker makes the first text (its first chunk; default: the whole file).
     """
+    bound_batches(texts.sparkSession)
     first = texts if chunker is None else texts.select("blob_hash", chunks(F.col("content"), chunker)[0]["content"].alias("content"))
     whole = keep(first.repartition(concurrency).select("blob_hash", embed(F.col("content"), provider, batch_size).alias("e")), "whole")
     done = [whole.filter("e.error is null").select("blob_hash", F.lit(WHOLE_FILE).alias("chunk_index"), F.col("e.vector").alias("vector"))]

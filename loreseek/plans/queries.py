@@ -21,7 +21,7 @@ from loreseek.operators import evaluation, fts, relational, vector_search, walk
 from loreseek.operators.fallback import embed_with_fallback
 from loreseek.plans import search
 from loreseek.session import spread
-from loreseek.sources.shared import Scratch
+from loreseek.sources.shared import Scratch, bound_batches
 
 WORDS, PHRASE = "the and that", "of-the and"
 MODEL_K, CAP = 10, 20_000
@@ -190,6 +190,7 @@ def file_chunk_spans(spark, d):
 
 
 def _fixed(spark, d, window):
+    bound_batches(spark)
     cut = chunks(F.col("content"), FixedChunker(window))
     each = _blobs(spark, d).select("doc_id", F.posexplode(cut).alias("chunk_index", "c"))
     return each.select("doc_id", "chunk_index", "c.start_line", "c.end_line", F.length("c.content").alias("n_chars"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import math
 import threading
+import tracemalloc
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -17,6 +19,9 @@ from pyspark.sql import functions as F
 from loreseek.functions import chunking, embedding, scores, text
 from loreseek.functions.hashing import git_blob_hash, utf16_length
 from loreseek.functions.vectors import cosine, cosine_quantized, dequantize, literal, quantize
+from loreseek.plans import queries
+from loreseek.schemas import CHUNKS
+from loreseek.sources import shared
 
 
 def one(spark, column, value="x", kind="string"):
@@ -55,6 +60,45 @@ def test_astral_characters_count_twice():
     assert chunking.fixed_spans("😀😀😀\nx", 7, 0) == [(1, 1), (2, 2)] and chunking.fixed_spans("abc\nx", 7, 0) == [(1, 2)]
 
 
+def test_cutting_holds_a_piece_of_a_batch():
+    """A batch of 12 MB is cut with a few MB of Python objects; a session's batches are bounded, too."""
+    texts = pa.array([*(("word " * 19 + f"{k}\n") * 40 for k in range(3_000)), None, ""])
+    tracemalloc.start()
+    found = chunking.cut(texts, chunking.FixedChunker(800))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6 << 20
+    wanted = chunking.FixedChunker(800).chunk(texts[7].as_py())
+    assert [tuple(c.values()) for c in found[7].as_py()] == wanted and len(wanted) > 5
+    assert len(found) == 3_002 and found[3_000].as_py() == [] and len(found[3_001].as_py()) == 1
+
+
+@pytest.mark.parametrize("window", [800])
+def test_batches_of_texts_to_cut_are_bounded(spark, tmp_path, window, monkeypatch):
+    spark.range(0, 3000, 1, 1).selectExpr("id doc_id", "'s' source", "'l' lang", "repeat('x', 20000) text").write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get(shared._BATCH, None)
+    spark.conf.unset(shared._BATCH)
+
+    class Counting:
+        def __init__(self, window):
+            self.window = window
+
+    def chunks(text, chunker):
+        @F.arrow_udf(CHUNKS)
+        def run(texts: pa.Array) -> pa.Array:
+            return pa.array([[("", len(texts), chunker.window, "", None)]] * len(texts), chunking._ARROW)
+
+        return run(text)
+
+    monkeypatch.setattr(queries, "chunks", chunks)
+    monkeypatch.setattr(queries, "FixedChunker", Counting)
+    try:
+        found = queries.QUERIES[f"fixed_chunks_{window}"](spark, str(tmp_path)).agg(F.max("start_line"), F.max("end_line"), F.count("*")).first()
+    finally:
+        spark.conf.set(shared._BATCH, before) if before else spark.conf.unset(shared._BATCH)
+    assert found[0] < 500 and tuple(found)[1:] == (window, 3000)
+
+
 def test_chunks_of_a_column(spark):
     df = spark.createDataFrame([("a\nb\n",), ("",), (None,)], "t string")
     whole = [r[0] for r in df.select(chunking.file_chunks(F.col("t"))[0]["end_line"]).collect()]
