@@ -10,15 +10,19 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loreseek.functions.porter import stem as porter_stem
 from loreseek.functions.text import ascii_tokens, query_phrases
+from loreseek.sources.shared import bound_batches
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
+PIECE = 1 << 16  # words
 _TOKEN = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -29,16 +33,26 @@ def tokens_of(text: str, stem: bool = True) -> list[str]:
     return [porter_stem(t) for t in found] if stem else found
 
 
+def stems(lists: pa.ListArray) -> pa.ListArray:
+    """Lists of the stems of lists of words. Python holds the different words of a piece only."""
+    words, done = lists.flatten(), []
+    for at in range(0, len(words), PIECE):
+        piece = words.slice(at, PIECE).dictionary_encode()
+        done.append(pa.array([porter_stem(w) for w in piece.dictionary.to_pylist()], pa.string()).take(piece.indices))
+    offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays([*done, pa.array([], pa.string())]))
+
+
 def tokens(text: Column, stem: bool = True) -> Column:
     """Tokens of a column; without stems this stays in the JVM."""
     if not stem:
         return ascii_tokens(text)
 
-    @F.pandas_udf("array<string>")
-    def stems(column: pd.Series) -> pd.Series:
-        return column.map(lambda words: [porter_stem(w) for w in words])
+    @F.arrow_udf("array<string>")
+    def run(lists: pa.Array) -> pa.Array:
+        return stems(lists)
 
-    return stems(F.coalesce(ascii_tokens(text), F.array().cast("array<string>")))
+    return run(F.coalesce(ascii_tokens(text), F.array().cast("array<string>")))
 
 
 def build(docs: DataFrame, stem: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -47,6 +61,7 @@ def build(docs: DataFrame, stem: bool = True) -> tuple[DataFrame, DataFrame]:
     Postings are ranged by term and document before they are grouped: one shuffle gives groups, files
     sorted by term (so scans skip row groups), and several tasks to a term that most documents hold.
     """
+    bound_batches(docs.sparkSession)
     listed = docs.select("blob_hash", tokens(F.col("content"), stem).alias("tokens"))
     lengths = listed.select("blob_hash", F.greatest(F.size("tokens"), F.lit(0)).alias("dl"))
     each = listed.select("blob_hash", F.posexplode("tokens").alias("pos", "term"))
@@ -61,6 +76,7 @@ def build_for(docs: DataFrame, terms: list[str], stem: bool = True) -> tuple[Dat
     ``docs`` (blob_hash, content) may hold a blob several times. A text is read once and reduced to its length and
     the places of the terms before anything moves; both results share that one exchange.
     """
+    bound_batches(docs.sparkSession)
     listed = docs.select("blob_hash", tokens(F.col("content"), stem).alias("tokens"))
     places = F.filter(F.transform("tokens", lambda t, k: F.struct(t.alias("t"), k.alias("k"))), lambda x: x["t"].isin(terms))
     reduced = listed.select("blob_hash", F.struct(F.greatest(F.size("tokens"), F.lit(0)).alias("dl"), places.alias("places")).alias("r"))

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import sqlite3
+import tracemalloc
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from loreseek.functions import porter
 from loreseek.functions.porter import stem
 from loreseek.operators import fts
+from loreseek.sources import shared
 
 DOCS = {
     "a": "unique marker one running runs",
@@ -78,3 +83,32 @@ def test_stems_as_in_the_library():
     con.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", enumerate(WORDS))
     wanted = dict(con.execute("SELECT doc, term FROM v").fetchall())
     assert {k: stem(w) for k, w in enumerate(WORDS)} == wanted
+
+
+def test_stems_hold_the_words_of_a_piece():
+    """Two million words of a few thousand kinds are stemmed without an object for each; long runs are not kept."""
+    kinds = [f"{a}{b}ings" for a in "abcdefghij" for b in range(300)]
+    lists = pa.array([kinds] * 700 + [[], ["ponies", "x" * 65]])
+    porter._stem.cache_clear()
+    tracemalloc.start()
+    found = fts.stems(lists)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20 << 20
+    assert porter._stem.cache_info().currsize == len(kinds) + 1
+    assert found[3].as_py() == [porter.stem(w) for w in kinds] and found[700].as_py() == [] and found[701].as_py() == ["poni", "x" * 65]
+    assert fts.stems(lists.slice(699, 3)).to_pylist() == found.slice(699, 3).to_pylist() and len(found) == 702
+    assert fts.stems(lists.slice(0, 0)).to_pylist() == []
+
+
+def test_batches_of_texts_to_stem_are_bounded(spark, monkeypatch):
+    before = spark.conf.get(shared._BATCH, None)
+    spark.conf.unset(shared._BATCH)
+    monkeypatch.setattr(fts, "tokens", lambda text, stem: F.arrow_udf(lambda x: pa.array([["w"] * len(x)] * len(x)), "array<string>")(text))
+    docs = spark.range(0, 3000, 1, 1).selectExpr("cast(id as string) blob_hash", "repeat('x', 20000) content")
+    try:
+        for of in (fts.build, lambda d: fts.build_for(d, ["w"])):
+            spark.conf.unset(shared._BATCH)
+            assert of(docs)[1].agg(F.max("dl")).first()[0] < 500
+    finally:
+        spark.conf.set(shared._BATCH, before) if before else spark.conf.unset(shared._BATCH)
