@@ -73,7 +73,7 @@ def test_cutting_holds_a_piece_of_a_batch():
     assert len(found) == 3_002 and found[3_000].as_py() == [] and len(found[3_001].as_py()) == 1
 
 
-@pytest.mark.parametrize("window", [800])
+@pytest.mark.parametrize("window", [800, 1500])
 def test_batches_of_texts_to_cut_are_bounded(spark, tmp_path, window, monkeypatch):
     spark.range(0, 3000, 1, 1).selectExpr("id doc_id", "'s' source", "'l' lang", "repeat('x', 20000) text").write.parquet(f"{tmp_path}/documents.parquet")
     before = spark.conf.get(shared._BATCH, None)
